@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality
+from . import neardup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,3 +77,18 @@ def op6_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("component").alias("component_id"),
         F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"),
     )
+
+
+@query("op3_sampled_splitters")
+def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has the CRC-32 of no bytes, 0."""
+    dealt = sharding.shard_texts(read(spark, sf_dir, "documents"))
+    return dealt.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        F.coalesce("text_crc32", F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
