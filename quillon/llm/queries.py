@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, sharding
+from . import neardup, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,3 +92,38 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+#: The rules of the query, and a block list of canonical URLs; a rule outranks the list.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+URL_BLOCK_LIST = [("cheap-pills.example.com", "/"), ("free-bets.example.com", "/"), ("spam-farm.example.org", "/")]
+
+
+@query(
+    "op5_bloom_url_filter",
+    r"""
+    WITH rules(h, p, v, rank) AS (VALUES ('org', '/', 'allow', 2), ('example.org', '/es/', 'block', 2),
+      ('example.org', '/en/1', 'block', 2), ('com', '/fr/', 'allow', 2), ('com', '/de/', 'block', 2),
+      ('cheap-pills.example.com', '/', 'block', 1), ('free-bets.example.com', '/', 'block', 1),
+      ('spam-farm.example.org', '/', 'block', 1)),
+    u AS (SELECT page_id, row_number() OVER () AS r,
+                 coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')), '') AS host,
+                 coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+    f AS (SELECT u.r, max(struct_pack(rank := rank, n := length(h || p), rule := h || p, v := v)) AS m
+          FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY u.r)
+    SELECT page_id, host, path, CASE WHEN f.m.rank = 2 THEN f.m.rule END AS rule, coalesce(f.m.v, 'allow') AS verdict
+    FROM u LEFT JOIN f USING (r)
+    """,
+)
+def op5_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [(h, p, v, 2) for h, p, v in URL_RULES] + [(h, p, "block", 1) for h, p in URL_BLOCK_LIST]
+    listed = spark.createDataFrame(listed, "host string, path string, verdict string, rank int")
+    judged = urls.judge(read(spark, sf_dir, "pages"), "page_id", "url", listed)
+    return judged.select(
+        F.col("id").alias("page_id"), "host", "path", F.when(F.col("rank") == 2, F.col("entry")).alias("rule"), "verdict"
+    )
