@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, quality, sharding, urls
+from . import language, neardup, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -127,3 +127,15 @@ def op5_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         F.col("id").alias("page_id"), "host", "path", F.when(F.col("rank") == 2, F.col("entry")).alias("rule"), "verdict"
     )
+
+
+@query("op2_byte_cnn_language")
+def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit(docs))
+    return found.select(
+        "doc_id",
+        language.held_out("doc_id").alias("held_out"),
+        F.col(language.P + "lang").alias("lang_pred"),
+        F.col(language.P + "score").alias("score"),
+    )
