@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, quality, sharding, urls
+from . import language, neardup, packing, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -139,3 +139,10 @@ def op2_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col(language.P + "lang").alias("lang_pred"),
         F.col(language.P + "score").alias("score"),
     )
+
+
+@query("op4_minimum_bin_slack")
+def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digests(packing.pack_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
