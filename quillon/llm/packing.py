@@ -16,6 +16,7 @@ own. An empty table gives an empty result. Very long texts give many full window
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,22 +33,54 @@ GROUP_BYTES = 16_000_000
 CHUNK = 256
 
 
+#: Letters of ASCII and Latin-1, then ASCII marks but the apostrophe: such a word is one run of each, lower-cases letter
+#: by letter and is its own normal form.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> list[str]:
+    """The printable character by which byte-level vocabularies write each byte: itself if it prints, else the next
+    free one from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
 class WordIds(dict):
-    """Ids of a word, remembered up to a bound. A tokeniser that drops white space and never joins across it gives a
-    text's ids as those of its words in a row."""
+    """The ids of a word as little-endian 16-bit numbers, remembered up to a bound. A tokeniser that drops white space
+    and never joins across it gives a text's ids as those of its words in a row; plain words go straight to its model."""
 
-    bound = 300_000
+    bound = 400_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.runs: dict[str, bytes] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encode(word)
+    def run(self, text: str) -> bytes:
+        """Ids of one run of lower-case letters or of marks."""
+        found = self.runs.get(text)
+        if found is None:
+            written = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            found = np.array([t.id for t in self.model.tokenize(written)], "<u2").tobytes()
+            if len(text) <= 48:
+                if len(self.runs) >= self.bound:
+                    self.runs.clear()
+                self.runs[text] = found
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain:
+            ids = (self.run(plain[1].lower()) if plain[1] else b"") + (self.run(plain[2]) if plain[2] else b"")
+        else:
+            ids = np.array(self.encode(word), "<u2").tobytes()
         if len(word) <= 48:
             if len(self) >= self.bound:
                 self.clear()
@@ -55,14 +88,10 @@ class WordIds(dict):
         return ids
 
 
-def word_tokens(text: str, known: WordIds) -> np.ndarray:
+def word_tokens(text: str, known: WordIds) -> bytes:
     """Ids of a text, word by word, and the separator."""
-    out: list[int] = []
-    for word in text.replace("\n", " ").split(" "):
-        if word:
-            out += known[word]
-    out.append(SEPARATOR)
-    return np.array(out, np.uint16)
+    words = filter(None, text.replace("\n", " ").split(" "))
+    return b"".join(map(known.__getitem__, words)) + SEPARATOR.to_bytes(2, "little")
 
 
 def subset(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -133,11 +162,11 @@ def _pieces(path: str, window: int, tokens: Callable = word_tokens) -> Callable:
                 rows, starts, totals, ids = [], [], [], []
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     t = tokens(text or "", known)
-                    for s in range(0, len(t), window):
+                    for s in range(0, len(t), 2 * window):
                         rows.append(i)
-                        starts.append(s)
-                        totals.append(len(t))
-                        ids.append(t[s : s + window].tobytes())
+                        starts.append(s // 2)
+                        totals.append(len(t) // 2)
+                        ids.append(t[s : s + 2 * window])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(rows, pa.int64())),
