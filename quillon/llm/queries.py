@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, neardup, packing, quality, sharding, urls
+from . import language, mixing, neardup, packing, quality, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,3 +146,15 @@ def op4_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.digests(packing.pack_texts(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op9_hypergeometric_mix")
+def op9_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = mixing.P
+    dealt = mixing.deal(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return dealt.select(
+        "doc_id",
+        *[F.col(p + c).alias(c) for c in ("size", "source_size", "target")],
+        (F.col(p + "size") * F.size(p + "copies")).alias("taken"),
+        F.transform(p + "copies", lambda c: c.shard).alias("shards"),
+    )
