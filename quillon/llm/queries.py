@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, packing, quality, sharding, urls
+from . import language, mixing, neardup, packing, quality, sharding, spotsigs, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,3 +158,18 @@ def op9_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col(p + "size") * F.size(p + "copies")).alias("taken"),
         F.transform(p + "copies", lambda c: c.shard).alias("shards"),
     )
+
+
+@query("op7_spot_signatures")
+def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.edited_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    sigs, edited, after = F.col("sigs"), F.col("edited_sigs"), F.col("next_sigs")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint(sigs).alias("fingerprint"),
+        spotsigs.fingerprint(edited).alias("edited_fingerprint"),
+        spotsigs.likeness(sigs, edited).alias("near_edited"),
+        spotsigs.likeness(sigs, after).alias("near_next"),
+    )

@@ -32,7 +32,7 @@ RANGES_PER_SHARD = 64
 KEYS_PER_RANGE = 16
 
 
-def _search(bounds: list[int], key: Column) -> Column:
+def search(bounds: list[int], key: Column) -> Column:
     """How many of the sorted bounds are at most the key, by bisection inside one expression."""
     steps, n = [], 1
     while n <= len(bounds):
@@ -81,7 +81,7 @@ def by_bytes(df: DataFrame, size: Column, key: Column, tie: Column, shards: int,
     drawn = (F.xxhash64("__tie", "__key", F.lit("draw")).bitwiseAND(2**53 - 1) / F.lit(float(2**53))) < chance
     times = F.greatest(F.lit(1), F.least(chance, F.lit(float(wanted)))).cast("int")
     sample = [k for r in rows.where(drawn).select("__key", times.alias("t")).collect() for k in [r[0]] * r[1]]
-    rows = rows.withColumn("__range", _search(_boundaries(sample, ranges), F.col("__key")))
+    rows = rows.withColumn("__range", search(_boundaries(sample, ranges), F.col("__key")))
     summed = rows.groupBy("__range").agg(
         F.sum("__size").alias("bytes"), F.count("*").alias("rows"), (F.min("__key") < F.max("__key")).alias("many")
     )
