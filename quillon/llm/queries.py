@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, packing, quality, sharding, spotsigs, urls
+from . import language, mixing, neardup, packing, quality, sharding, spotsigs, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -173,3 +173,29 @@ def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.likeness(sigs, edited).alias("near_edited"),
         spotsigs.likeness(sigs, after).alias("near_next"),
     )
+
+
+@query(
+    "op8_zip_warc",
+    """
+    WITH h AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS x FROM pages),
+    g AS (SELECT x, max(page_id) AS top FROM h GROUP BY x)
+    SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+             (CAST(('0x' || substr(h.x, CAST(1 + 5 * (i // 4) AS BIGINT), 5)) AS BIGINT) // CAST(power(32, 3 - i % 4) AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+           CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> top THEN top END AS refers_to
+    FROM h JOIN g ON h.x = g.x
+    """,
+)
+def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    payload = F.coalesce(F.encode("html", "UTF-8"), F.to_binary(F.lit(""), F.lit("hex")))
+    found = warc.read_packages(spark, *warc.write_packages(pages, "page_id", payload))
+    return found.select(
+        "page_id",
+        F.col("bytes").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
