@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, packing, quality, sharding, spotsigs, urls, warc
+from . import html_layout, language, mixing, neardup, packing, quality, sharding, spotsigs, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,3 +199,9 @@ def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         "refers_to",
     )
+
+
+@query("op1_layout_text")
+def op1_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_layout.extract(read(spark, sf_dir, "pages").select("page_id", "html"), "html", "text")
+    return pages.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
