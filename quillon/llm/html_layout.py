@@ -102,9 +102,10 @@ def parse(html: str) -> Node:
                 stack.pop()
             stack[-1].kids.append(s)
 
-    at, end = 0, len(html)
+    # no tag ends behind the last >, so none is looked for there
+    at, end, limit = 0, len(html), html.rfind(">") + 1
     while at < end:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, limit)
         if m is None:
             text(unescape(html[at:]))
             break
@@ -113,6 +114,8 @@ def parse(html: str) -> Node:
         at = m.end()
         tag = m[2]
         if tag is None:
+            if at == limit and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>", "<!-->", "<!--->")):
+                break
             continue
         tag = tag.lower()
         if m[1]:
