@@ -5,13 +5,15 @@
 2. Every class is posted under its (coordinate, value) pairs. Values that occur once are dropped, since they can't
    collide; the rest are ordered from rare to frequent, the same way for all. Two classes that agree in at least
    MATCHES coordinates must meet under one of the 64 - MATCHES + 1 rarest values of both, so only this prefix is merged:
-   the long lists are skipped, and probed through the full signatures of the pairs that the short ones yield.
-3. Within a list, pairs go through hubs: each member meets one hub, so a list costs as much as it is long. Confirmed
-   links make components. Lists that still mix components get more hubs from their main component, and at last every
-   member outside the main component meets every other component's members. Pairs inside a component need no look, so
-   no group is multiplied out, and no pair between components is left out.
-4. Pairs pass a size bound and a bound on differing coordinates, both without loss, then the count of agreeing
-   coordinates, and are confirmed by the exact Jaccard similarity of the full sets.
+   the long lists are skipped, and probed through the full signatures that each posting carries.
+3. Lists are walked in their tasks. Collisions are counted on the spot, and a list yields no pairs but the edges of its
+   maximum spanning forest over counts of at least MATCHES: fewer than it has members. These pairs are confirmed by the
+   exact Jaccard similarity of the full sets, and the confirmed links make components.
+4. Lists that still mix components are walked again: the members that agree in MATCHES coordinates with one of another
+   component get their full sets, and are compared exactly with all of these; again a list yields a forest of confirmed
+   links. Pairs inside a component need no look, so no group is multiplied out, and no pair between components is left
+   out. Lists that are long, or heavy, are cut into blocks, and each pair of blocks is walked as a list of its own, so
+   that no task holds more than two blocks.
 
 A pair at the similarity 0.85 misses MATCHES = 42 of 64 coordinates with a probability of about 3 in 100,000, and the
 more similar, the less. Everything behind that is exact.
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import staged
 from .components import connected
 from .shingles import COORDINATES, WordHashes, class_key, intersection, shingle_set, signature
@@ -39,9 +42,9 @@ from .shingles import COORDINATES, WordHashes, class_key, intersection, shingle_
 MATCHES = 42
 #: Similarity of linked texts, in hundredths.
 PERCENT = 85
-#: Hubs of a list in the rounds after the first.
-HUBS = 8
-ROUNDS = 6
+#: Members of a block of a list, and shingles.
+BLOCK = 2048
+BLOCK_SHINGLES = 1_000_000
 #: Texts that are held at once while they are signed.
 CHUNK = 256
 
@@ -55,27 +58,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, CHUNK):
             batch = whole.slice(at, CHUNK)
-            sizes, keys, bits, signatures = [], [], [], []
+            sizes, keys, signatures = [], [], []
             for text in _texts(batch.column(1)):
                 s = shingle_set(text, known)
                 sizes.append(len(s))
                 keys.append(class_key(s) if len(s) else None)
-                if len(s):
-                    sig = signature(s)
-                    signatures.append(sig.view(np.int32))
-                    bits.append(int(np.packbits((sig & 1).astype(np.uint8)).view(">i8")[0]))
-                else:
-                    signatures.append(None)
-                    bits.append(0)
+                signatures.append(signature(s).view(np.int32) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
-                    pa.array(bits, pa.int64()),
                     pa.array(signatures, pa.list_(pa.int32())),
                 ],
-                names=["id", "n", "cls", "bits", "sig"],
+                names=["id", "n", "cls", "sig"],
             )
 
 
@@ -83,12 +79,128 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps (a, b, sig_a, sig_b) rows that agree in MATCHES coordinates."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The lists of a partition that is sorted by (key, i, j), one table each; a list may span batches."""
+    held = None
     for b in batches:
-        if b.num_rows:
-            ok = (_rows(b.column(2)) == _rows(b.column(3))).sum(axis=1) >= MATCHES
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+        cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        start = 0
+        for end in cut.tolist():
+            yield t.slice(start, end - start)
+            start = end
+        held = t.slice(start)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _edges(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _fits(n: int, m: np.ndarray, percent: int) -> np.ndarray:
+    """A bound on sizes that no linked pair breaks."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def _forest(percent: int):
+    """Lists of (key, i, j, nid, n, sig) to the edges of their maximum spanning forests."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xs, ys, held = [], [], 0
+        for t in _lists(batches):
+            if t.num_rows < 2:
+                continue
+            nid, n = t.column("nid").to_numpy(), t.column("n").to_numpy()
+            sig = _rows(t.column("sig").combine_chunks())
+            # Prim's algorithm: best[k] is the highest count of k with the tree so far, by[k] whom it has it with
+            best, by = np.full(len(nid), -1), np.zeros(len(nid), np.int64)
+            best[0], now = 0, 0
+            done = np.zeros(len(nid), bool)
+            for _ in range(len(nid)):
+                done[now] = True
+                count = np.where(_fits(n[now], n, percent), (sig == sig[now]).sum(axis=1), 0)
+                better = ~done & (count > best)
+                best[better], by[better] = count[better], now
+                if done.all():
+                    break
+                now = int(np.where(done, -2, best).argmax())
+                if best[now] >= MATCHES:
+                    xs.append(nid[now : now + 1])
+                    ys.append(nid[by[now] : by[now] + 1])
+                    held += 1
+            if held > 50_000:
+                yield _edges(xs, ys)
+                xs, ys, held = [], [], 0
+        yield _edges(xs, ys)
+
+    return walk
+
+
+def _live(percent: int):
+    """Lists of (key, i, j, nid, n, sig, component) to (key, i, j, nid): the members that agree in MATCHES coordinates
+    with a member of another component."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            of = t.column("component").to_numpy()
+            names, which, counts = np.unique(of, return_inverse=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            n, sig = t.column("n").to_numpy(), _rows(t.column("sig").combine_chunks())
+            live = np.zeros(len(of), bool)
+            for u in np.flatnonzero(which != counts.argmax()).tolist():
+                near = (of != of[u]) & _fits(n[u], n, percent)
+                near[near] = (sig[near] == sig[u]).sum(axis=1) >= MATCHES
+                if near.any():
+                    live |= near
+                    live[u] = True
+            if live.any():
+                yield from t.select(["key", "i", "j", "nid"]).filter(pa.array(live)).to_batches()
+
+    return walk
+
+
+def _exact(percent: int):
+    """Lists of (key, i, j, nid, component, hashes) to a forest of links between their components, by full sets."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _lists(batches):
+            nid, of = t.column("nid").to_numpy(), t.column("component").to_numpy()
+            names, of, counts = np.unique(of, return_inverse=True, return_counts=True)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+            n = np.array([len(s) for s in sets])
+            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+            values, place = np.unique(np.concatenate(sets), return_inverse=True)
+            root = list(range(len(names)))
+
+            def find(x: int, root: list = root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            xs, ys = [], []
+            for u in np.flatnonzero(of != counts.argmax()).tolist():
+                mark = np.zeros(len(values), np.int64)
+                mark[place[starts[u] : starts[u] + n[u]]] = 1
+                both = np.add.reduceat(mark[place], starts)
+                linked = (100 * both >= percent * (n + n[u] - both)) & (of != of[u])
+                for v in np.flatnonzero(linked).tolist():
+                    x, y = find(of[u]), find(of[v])
+                    if x != y:
+                        root[x] = y
+                        xs.append(nid[u : u + 1])
+                        ys.append(nid[v : v + 1])
+            if xs:
+                yield _edges(xs, ys)
+
+    return walk
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +237,11 @@ class _Finder:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int) -> None:
         self.docs, self.percent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent
         kind = self.docs.schema["id"].dataType.simpleString()
-        self.rows = staged(
-            self.docs.mapInArrow(_sign, f"id {kind}, n bigint, cls binary, bits bigint, sig array<int>"), "signed"
-        )
+        self.rows = staged(self.docs.mapInArrow(_sign, f"id {kind}, n bigint, cls binary, sig array<int>"), "signed")
         self.classes = staged(
             self.rows.where("n > 0")
             .groupBy("cls")
-            .agg(F.min("id").alias("mid"), *[F.first(c).alias(c) for c in ("n", "bits", "sig")])
+            .agg(F.min("id").alias("mid"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
             .withColumn("nid", F.monotonically_increasing_id()),
             "classes",
         )
@@ -139,7 +249,7 @@ class _Finder:
         self.links: DataFrame | None = None
 
     def postings(self) -> DataFrame:
-        """(key, nid, n, bits): the prefix of each class, in lists of two or more."""
+        """(key, i, j, nid, n, sig): the prefix of each class, in lists of two or more, long ones as pairs of blocks."""
         keys = self.classes.select("nid", F.posexplode("sig").alias("k", "v")).select(
             "nid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long") + 2147483648).alias("key")
         )
@@ -148,93 +258,68 @@ class _Finder:
         prefix = COORDINATES - MATCHES + 1
         many = prefix - (COORDINATES - F.size("l"))
         posted = common.where(many > 0).select("nid", F.explode(F.slice("l", F.lit(1), many)).alias("x"))
-        found = posted.select("nid", F.col("x.key").alias("key")).join(self.classes.select("nid", "n", "bits"), "nid")
-        return staged(found, "postings")
-
-    def fits(self, x: str, y: str):
-        """Bounds that no linked pair breaks."""
-        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & (
-            F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= COORDINATES - MATCHES
+        posted = staged(
+            posted.select("nid", F.col("x.key").alias("key")).join(self.classes.select("nid", "n", "sig"), "nid"), "postings"
         )
-
-    def confirm(self, pairs: DataFrame) -> DataFrame | None:
-        """The linked ones among (a, b) pairs: by full signatures, then by full sets."""
-        sig = self.classes.select("nid", "sig")
-        near = pairs.join(sig.select(F.col("nid").alias("a"), F.col("sig").alias("sa")), "a").join(
-            sig.select(F.col("nid").alias("b"), F.col("sig").alias("sb")), "b"
+        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        sizes = posted.groupBy("key").agg(F.count("*").alias("c"), blocks.alias("blocks")).where("c > 1")
+        own = F.pmod(F.xxhash64("nid", F.lit("block")), F.col("blocks")).cast("int")
+        pairs = F.transform(
+            F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))
         )
-        near = staged(near.select("a", "b", "sa", "sb").mapInArrow(_agree, "a bigint, b bigint"), "near")
-        nodes = near.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("nid"), "nid", "left_anti")
-        nodes = staged(nodes.join(self.classes.select("nid", "cls", "mid"), "nid"), "nodes")
-        if not nodes.isEmpty():
+        posted = posted.join(sizes.drop("c"), "key").withColumn("own", own)
+        return posted.select("key", "nid", "n", "sig", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "nid", "n", "sig")
+
+    def by_list(self, rows: DataFrame) -> DataFrame:
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "nid")
+
+    def fetch(self, nodes: DataFrame) -> DataFrame:
+        """(nid, hashes) of at least these nodes. Texts are read again for those that were not fetched before; a blocked
+        Bloom filter of their ids, of bounded size, keeps most other texts out of the join, which is exact."""
+        fresh = nodes if self.sets is None else nodes.join(self.sets.select("nid"), "nid", "left_anti")
+        fresh = staged(fresh.join(self.classes.select("nid", "cls", "mid", "copies"), "nid"), "nodes")
+        many, copies = fresh.agg(F.count("*"), F.max("copies")).collect()[0]
+        if many:
+            ids = F.xxhash64(F.col("id"))
+            docs = self.docs.where(bloom.passes(bloom.build(fresh.select(F.xxhash64("mid").alias("h")), "h", many), ids, many))
             same = F.col("d.id").eqNullSafe(F.col("w.mid"))
-            texts = self.docs.alias("d").join(nodes.alias("w"), same).select("w.nid", "w.cls", "d.text")
-            fresh = texts.mapInArrow(_sets, "nid bigint, hashes binary")
-            if self.docs_repeat:
-                fresh = fresh.groupBy("nid").agg(F.first("hashes").alias("hashes"))
-            fresh = staged(fresh, "sets")
-            self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
-        if self.sets is None:
-            return None
-        both = near.join(self.sets.select(F.col("nid").alias("a"), F.col("hashes").alias("ha")), "a").join(
-            self.sets.select(F.col("nid").alias("b"), F.col("hashes").alias("hb")), "b"
+            texts = docs.alias("d").join(fresh.alias("w"), same).select("w.nid", "w.cls", "d.text")
+            found = texts.mapInArrow(_sets, "nid bigint, hashes binary")
+            if copies > 1:  # rows that repeat an id and a text give a set more than once
+                found = found.groupBy("nid").agg(F.first("hashes").alias("hashes"))
+            found = staged(found, "sets")
+            self.sets = found if self.sets is None else self.sets.unionByName(found)
+        return self.sets
+
+    def add(self, links: DataFrame) -> None:
+        links = staged(links.distinct(), "links")
+        self.links = links if self.links is None else self.links.unionByName(links)
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Adds the linked ones among distinct (a, b) pairs, by full sets."""
+        sets = self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
+        both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("hashes").alias("ha")), "a").join(
+            sets.select(F.col("nid").alias("b"), F.col("hashes").alias("hb")), "b"
         )
-        found = staged(both.select("a", "b", "ha", "hb").mapInArrow(_similar(self.percent), "a bigint, b bigint"), "links")
-        return None if found.isEmpty() else found
-
-    def add(self, pairs: DataFrame) -> bool:
-        found = self.confirm(pairs)
-        if found is not None:
-            self.links = found if self.links is None else self.links.unionByName(found)
-        return found is not None
-
-    def hubs(self, members: DataFrame, many: int) -> DataFrame:
-        """(key, hubs): per list, the members that come first in `many` random orders."""
-        pick = [F.min(F.struct(F.xxhash64("nid", F.lit(i)).alias("o"), "nid", "n", "bits")) for i in range(many)]
-        return members.groupBy("key").agg(F.array_distinct(F.array(*pick)).alias("hubs"))
-
-    def meet(self, members: DataFrame, hubs: DataFrame) -> DataFrame:
-        pairs = members.join(hubs, "key").select(F.struct("nid", "n", "bits").alias("x"), F.explode("hubs").alias("h"))
-        pairs = pairs.where((F.col("x.nid") != F.col("h.nid")) & self.fits("x", "h"))
-        return pairs.select(F.least("x.nid", "h.nid").alias("a"), F.greatest("x.nid", "h.nid").alias("b")).distinct()
+        self.add(both.select("a", "b", "ha", "hb").mapInArrow(_similar(self.percent), "a bigint, b bigint"))
 
     def run(self) -> None:
-        # an id that stands in several rows would fetch a set several times
-        self.docs_repeat = not self.rows.groupBy("id").count().where("count > 1").isEmpty()
         posted = self.postings()
-        if posted.isEmpty():
+        near = self.by_list(posted).mapInArrow(_forest(self.percent), "a bigint, b bigint")
+        near = staged(near.distinct(), "near")
+        if near.isEmpty():
             return
-        self.add(self.meet(posted, self.hubs(posted, 1)))
-        total = posted.count()
-        for _ in range(ROUNDS):
-            members = posted
-            if self.links is not None:
-                found = connected(self.links, "a", "b").withColumnRenamed("node", "nid")
-                members = posted.join(found, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-            else:
-                members = posted.withColumn("component", F.col("nid"))
-            sizes = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.sum("c").alias("all"))
-            main = main.where("m.c < all").select("key", F.col("m.component").alias("main"), (F.col("all") - F.col("m.c")).alias("minor"), "all")
-            open_ = staged(members.join(main, "key"), "open")
-            left = open_.where("component <> main").agg(F.sum("all")).collect()[0][0]
-            if not left:
-                return
-            outside = open_.where("component <> main")
-            if left > 4 * total:
-                hubs = self.hubs(open_.where("component = main"), HUBS)
-                if self.add(self.meet(outside.select("key", "nid", "n", "bits"), hubs)):
-                    continue
-            break
-        x, y = outside.alias("x"), open_.select("key", "nid", "n", "bits", "component", "main").alias("y")
-        cross = (F.col("x.component") != F.col("y.component")) & (
-            (F.col("y.component") == F.col("y.main")) | (F.col("x.nid") < F.col("y.nid"))
-        )
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & cross & self.fits("x", "y"))
-        self.add(pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct())
+        self.confirm(near)
+        of = staged(connected(self.links, "a", "b").withColumnRenamed("node", "nid"), "components")
+        mixed = posted.join(of, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        live = self.by_list(mixed).mapInArrow(_live(self.percent), "key bigint, i int, j int, nid bigint")
+        live = staged(live, "live")
+        if live.isEmpty():
+            return
+        sets = self.fetch(live.select("nid").distinct())
+        whole = live.join(sets, "nid").join(of, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        self.add(self.by_list(whole).mapInArrow(_exact(self.percent), "a bigint, b bigint"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -7,7 +7,7 @@ picks a 64-bit block, six more bits of it must all be set. Only candidates that
 with the list on the whole entry removes the false positives. Of the entries that fit, the highest rank and then the
 longest wins.
 
-The filter has at most MAX_BLOCKS blocks, 512 KB, whatever the list holds; it travels as one scalar value. A longer list
+The filter has a bounded number of blocks, 512 KB, whatever the list holds; it travels as one scalar value. A longer list
 only lets more false positives through to the join, which is exact. The join is left to the planner, which broadcasts the
 list if it is small and splits hot keys if not; URLs are pre-aggregated, so copies of a page cost one lookup.
 
@@ -21,11 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most blocks of the filter, each a 64-bit word; blocks per entry below that bound.
-MAX_BLOCKS = 65_536
-BLOCKS_PER_ENTRY = 2
-BITS = 6
-
+from . import bloom
 
 def host_of(url: Column) -> Column:
     """From after the first :// up to /, ?, # or the end, A-Z lower-cased."""
@@ -38,40 +34,6 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _hash(entry: Column) -> Column:
-    return F.xxhash64(entry, F.lit("entry"))
-
-
-def _block(h: Column, blocks: int) -> Column:
-    return F.shiftrightunsigned(h, 40).bitwiseAND(blocks - 1).cast("int")
-
-
-def _mask(h: Column) -> Column:
-    """The bits of an entry in its block: BITS groups of six bits of its hash."""
-    mask = F.lit(0).cast("long")
-    for i in range(BITS):
-        at = F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
-    return mask
-
-
-def bloom_filter(listed: DataFrame, entry: str, blocks: int) -> DataFrame:
-    """One row, one column: the array of the filter's blocks."""
-    h = _hash(F.col(entry))
-    words = listed.select(_block(h, blocks).alias("block"), _mask(h).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
-    return words.agg(F.map_from_entries(F.collect_list(F.struct("block", "word"))).alias("m")).select(
-        F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("blocks")
-    )
-
-
-def size_filter(listed: DataFrame) -> int:
-    """A power of two of blocks, in proportion to the list up to the bound."""
-    n, blocks = listed.count(), 64
-    while blocks < min(MAX_BLOCKS, BLOCKS_PER_ENTRY * n):
-        blocks *= 2
-    return blocks
-
-
 def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
     """All entries that could fit: host suffixes at label borders, each with the path's prefixes of listed lengths."""
     labels = F.split(host, r"\.")
@@ -98,12 +60,11 @@ def judge(pages: DataFrame, id_col: str, url_col: str, listed: DataFrame) -> Dat
     if not lengths:
         best = rows.select("*", F.lit(None).cast("string").alias("entry"), F.lit("allow").alias("verdict"), F.lit(None).cast("int").alias("rank"))
     else:
-        blocks = size_filter(listed)
-        words = bloom_filter(listed, "entry", blocks).scalar()
+        many = listed.count()
+        words = bloom.build(listed.select(F.xxhash64("entry").alias("h")), "h", many)
 
         asked = rows.select("id", "host", "path", F.explode(candidates(F.col("host"), F.col("path"), lengths)).alias("entry"))
-        h = _hash(F.col("entry"))
-        possible = asked.where((F.col("host") != "") & (F.get(words, _block(h, blocks)).bitwiseAND(_mask(h)) == _mask(h)))
+        possible = asked.where((F.col("host") != "") & bloom.passes(words, F.xxhash64("entry"), many))
         # the join is on whole entries; the host part must be the listed one too, not a longer host with a shorter path
         hits = possible.join(listed, "entry").where(F.col("host").endswith(F.substring(F.col("entry"), F.lit(1), F.col("host_chars"))))
         won = F.max(F.struct("rank", F.char_length("entry").alias("chars"), "host_chars", "entry", "verdict"))
