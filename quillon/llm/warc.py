@@ -27,7 +27,7 @@ from .common import new_path, staged
 from .zipwarc import Package, PackageWriter, digest
 
 #: Payload bytes of a package.
-PACKAGE_BYTES = 64_000_000
+PACKAGE_BYTES = 16_000_000
 #: Rows of a package that the reader returns at once.
 CHUNK = 64
 
@@ -41,17 +41,20 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def kinds(pages: DataFrame, id_col: str, payload: Column, least: int = 0) -> DataFrame:
+def kinds(pages: DataFrame, id_col: str, payload: Column, least: int = 0, parts: int | None = None) -> DataFrame:
     """(id, payload, refers_to, revisit): refers_to is the largest id with an equal payload where another id has it."""
     rows = pages.select(F.col(id_col).alias("id"), payload.alias("payload"))
     narrow = rows.select("id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("bytes"))
     narrow = staged(narrow.groupBy("id", "sha1", "bytes").agg(F.count("*").alias("n")), "digests")
     top = narrow.where(F.col("bytes") >= least).groupBy("sha1").agg(F.max("id").alias("top"))
     revisits = narrow.join(top, "sha1").where(~F.col("id").eqNullSafe(F.col("top"))).select(F.col("id").alias("rid"), "sha1", "top")
-    # a page's id decides its package; pages with one id and several payloads are told apart by the digest
-    of = rows.withColumn("own", F.sha1("payload"))
-    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("own") == F.col("sha1"))
-    out = of.join(revisits, same, "left")
+    # the page's id and digest decide its package: one exchange deals the pages out and serves the join
+    key = lambda i, d: F.xxhash64(i, d)
+    of = rows.withColumn("own", F.sha1("payload")).withColumn("key", key("id", "own"))
+    of = of if parts is None else of.repartition(parts, "key")
+    revisits = revisits.withColumn("rkey", key("rid", "sha1"))
+    same = (F.col("key") == F.col("rkey")) & F.col("id").eqNullSafe(F.col("rid")) & (F.col("own") == F.col("sha1"))
+    out = of.join(revisits.hint("shuffle_merge"), same, "left")
     return out.select("id", "payload", F.col("top").alias("refers_to"), F.col("sha1").isNotNull().alias("revisit"))
 
 
@@ -89,7 +92,7 @@ def write_packages(pages: DataFrame, id_col: str, payload: Column, least: int =
     folder = new_path(spark, "packages")
     size = pages.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).collect()[0][0]
     parts = max(int(spark.sparkContext.defaultParallelism), -(-size // PACKAGE_BYTES))
-    rows = kinds(pages, id_col, payload, least).repartition(parts)
+    rows = kinds(pages, id_col, payload, least, parts)
     return folder, staged(rows.mapInArrow(_writer(folder), "name string, records bigint"), "manifest")
 
 
