@@ -192,6 +192,7 @@ def predict(df: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataF
                     lang[at + np.array(ask)], score[at + np.array(ask)] = found, p
             yield pd.DataFrame({"lang": lang, "score": score})
 
-    asked = F.pandas_udf(answer, "lang string, score double")
+    # so called, it is not run again for each use of its answer
+    asked = F.pandas_udf(answer, "lang string, score double").asNondeterministic()
     out = df.withColumn(P + "answer", asked(F.col(text_col)))
     return out.withColumns({P + "lang": F.col(P + "answer.lang"), P + "score": F.col(P + "answer.score")}).drop(P + "answer")

@@ -45,6 +45,7 @@ PERCENT = 85
 #: Members of a block of a list, and shingles.
 BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
+P = "__neardup_"
 #: Texts that are held at once while they are signed.
 CHUNK = 256
 
@@ -336,3 +337,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = named.select("cls", F.col("mid").alias("component"))
     out = run.rows.select("id", "n", "cls").join(named, "cls", "left")
     return out.select("id", "n", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each component, with the columns of docs: a row of the least id. Where that id stands in several rows,
+    or a component has no id at all, one row stays, the first by its text. Rows with the empty set all stay, being
+    linked with nothing."""
+    found = staged(components(docs, id_col, text_col, percent), "found")
+    # ids that a component but not they themselves is named by go
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
+    rows = docs.withColumn(P + "id", F.col(id_col))
+    kept = rows.join(gone.select(F.col("id").alias(P + "gone")), F.col(P + "id").eqNullSafe(F.col(P + "gone")), "left_anti")
+    # rows beyond the first of an id and component are rare: only these are looked at again
+    again = found.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n") > 0)).groupBy("id").count().where("count > 1")
+    again = staged(again.select(F.col("id").alias(P + "again")), "again")
+    if not again.isEmpty():
+        same = F.col(P + "id").eqNullSafe(F.col(P + "again"))
+        one = kept.join(again, same, "left_semi").dropDuplicates([P + "id"])
+        kept = kept.join(again, same, "left_anti").unionByName(one)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

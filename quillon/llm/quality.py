@@ -164,5 +164,9 @@ def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) ->
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that pass, with the columns of df."""
-    return judge(df, text).where(F.col(P + "failed_rule").isNull()).select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df that pass, with the columns of df. A filter would be pushed below the projections that build the
+    measures step by step, and so build them anew for each use; a generator of one row or none stays above them."""
+    judged = judge(df, text)
+    once = F.when(F.col(P + "failed_rule").isNull(), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    return judged.select(*own, F.explode(once).alias(P + "once")).select(*own)
