@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry
 
-FAMILIES = ("reports",)
+FAMILIES = ("reports", "aggregates", "predicates")
 
 
 def load() -> Registry:
