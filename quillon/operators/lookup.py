@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Patterns that are held in memory of every task; more are left to the planner.
+MOST_PATTERNS = 10_000
+
+
 def first_match(table: DataFrame, key: str, ordinal: str, last: bool = False) -> DataFrame:
     """One row per key: that with the least ordinal, or with the greatest."""
     rest = [c for c in table.columns if c != key]
@@ -40,19 +44,38 @@ def nearest(df: DataFrame, table: DataFrame, at: str, key: str, value: str, out:
     return found.select("_row.*", out)
 
 
+def global_row_number(df: DataFrame, ordinal: str, out: str, ranges: int = 64) -> DataFrame:
+    """df numbered from 1 by a unique ordinal without one task for all: the ordinal is cut into ranges at its quantiles,
+    rows are numbered within their range, and a range starts behind the counts of those before it."""
+    cuts = df.agg(F.percentile_approx(ordinal, [i / ranges for i in range(1, ranges)], 100 * ranges)).collect()[0][0] or []
+    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
+    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(ordinal))))
+    counts = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # at most `ranges` rows
+    offsets, at = [], 0
+    for k in sorted(counts):
+        offsets += [F.lit(k), F.lit(at)]
+        at += counts[k]
+    if not offsets:
+        return df.withColumn(out, F.lit(0).cast("int"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(ordinal)) + F.try_element_at(F.create_map(*offsets), F.col("_range"))
+    return rows.withColumn(out, place).drop("_range")
+
+
 def wildcard(df: DataFrame, patterns: DataFrame, text: str, pattern: str, ordinal: str, value: str, out: str) -> DataFrame:
     """Adds the value of the first pattern, by ordinal, that a text matches. Patterns are a small rule table: the join is
     on a condition, so the planner holds the patterns in memory and streams df past them."""
+    few = patterns.limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS
     keyed = df.withColumn("_id", F.monotonically_increasing_id())
-    hit = keyed.join(F.broadcast(patterns), F.col(text).rlike(F.col(pattern)), "left")
+    hit = keyed.join(F.broadcast(patterns) if few else patterns, F.regexp_like(F.col(text), F.col(pattern)), "left")
     pick = F.min_by(F.col(value), F.col(ordinal)).alias(out)
     return hit.groupBy("_id", *df.columns).agg(pick).drop("_id")
 
 
 def position(table: DataFrame, key: str, ordinal: str) -> DataFrame:
     """(key, position): where each key first stands, from 1, in the table's order."""
-    over = Window.orderBy(ordinal)
-    return table.select(key, F.row_number().over(over).alias("_p")).groupBy(key).agg(F.min("_p").alias("position"))
+    first = table.groupBy(key).agg(F.min(ordinal).alias("_o"))
+    places = global_row_number(table.select(ordinal), ordinal, "position")
+    return first.join(places, F.col("_o") == F.col(ordinal)).select(key, "position")
 
 
 def is_same(pairs: list[tuple[str, str]]) -> Column:

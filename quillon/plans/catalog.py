@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry
 
-FAMILIES = ("reports", "aggregates", "predicates")
+FAMILIES = ("reports", "aggregates", "predicates", "lookups", "windows")
 
 
 def load() -> Registry:
