@@ -95,9 +95,7 @@ def _solve(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(ok, (low + high) / 2, np.nan)
 
 
-@F.pandas_udf("double")
-def irr(flows: pd.Series) -> pd.Series:
-    """The rate at which flows, the first one now, are worth nothing; null if none is found."""
+def _irr(flows: pd.Series) -> pd.Series:
 
     def one(x) -> float:
         x = np.asarray(x, float)
@@ -105,12 +103,10 @@ def irr(flows: pd.Series) -> pd.Series:
         r = _solve(lambda r: (x[None, :] / (1 + r[:, None]) ** t).sum(axis=1), np.array([-0.99]), np.array([10.0]))
         return float(r[0])
 
-    return flows.map(lambda x: one(x) if x is not None and len(x) > 1 else float("nan")).replace({np.nan: None}).astype(float)
+    return flows.map(lambda x: one(x) if x is not None and len(x) > 1 else float("nan")).astype(float)
 
 
-@F.pandas_udf("double")
-def rate(n: pd.Series, payment: pd.Series, pv: pd.Series) -> pd.Series:
-    """The rate of an annuity, by bisection over all rows at once."""
+def _rate(n: pd.Series, payment: pd.Series, pv: pd.Series) -> pd.Series:
     n, p, v = (np.asarray(x, float) for x in (n, payment, pv))
 
     def value(r: np.ndarray) -> np.ndarray:
@@ -123,3 +119,13 @@ def rate(n: pd.Series, payment: pd.Series, pv: pd.Series) -> pd.Series:
     up = _solve(value, np.full(len(n), 1e-9), np.full(len(n), 1.0))
     down = _solve(value, np.full(len(n), -0.5), np.full(len(n), -1e-9))
     return pd.Series(np.where(np.isnan(up), down, up))
+
+
+def irr(flows: Column) -> Column:
+    """The rate at which flows, the first one now, are worth nothing; null if none is found."""
+    return F.pandas_udf(_irr, "double")(flows)
+
+
+def rate(n: Column, payment: Column, pv: Column) -> Column:
+    """The rate of an annuity, by bisection over all rows at once."""
+    return F.pandas_udf(_rate, "double")(n, payment, pv)

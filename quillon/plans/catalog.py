@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry
 
-FAMILIES = ("reports", "aggregates", "predicates", "lookups", "windows")
+FAMILIES = ("reports", "aggregates", "predicates", "lookups", "windows", "scalars", "metering")
 
 
 def load() -> Registry:
