@@ -87,7 +87,7 @@ def _solve(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Bisection of many functions at once; NaN where the ends have the same sign."""
     a, b = f(low), f(high)
     ok = np.sign(a) * np.sign(b) <= 0
-    for _ in range(200):
+    for _ in range(80):
         mid = (low + high) / 2
         m = f(mid)
         left = np.sign(m) == np.sign(a)
@@ -96,14 +96,21 @@ def _solve(f, low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 
 def _irr(flows: pd.Series) -> pd.Series:
-
-    def one(x) -> float:
-        x = np.asarray(x, float)
-        t = np.arange(len(x))
-        r = _solve(lambda r: (x[None, :] / (1 + r[:, None]) ** t).sum(axis=1), np.array([-0.99]), np.array([10.0]))
-        return float(r[0])
-
-    return flows.map(lambda x: one(x) if x is not None and len(x) > 1 else float("nan")).astype(float)
+    """All rows with the same number of flows are solved at once."""
+    out = np.full(len(flows), np.nan)
+    sizes = flows.map(lambda x: 0 if x is None else len(x)).to_numpy()
+    for n in np.unique(sizes[sizes > 1]):
+        rows = np.flatnonzero(sizes == n)
+        x = np.stack([np.asarray(flows.iloc[i], float) for i in rows])
+
+        def value(r: np.ndarray, x: np.ndarray = x) -> np.ndarray:
+            total, g = np.zeros(len(r)), 1 / (1 + r)
+            for k in range(x.shape[1] - 1, -1, -1):
+                total = total * g + x[:, k]
+            return total
+
+        out[rows] = _solve(value, np.full(len(rows), -0.99), np.full(len(rows), 10.0))
+    return pd.Series(out)
 
 
 def _rate(n: pd.Series, payment: pd.Series, pv: pd.Series) -> pd.Series:

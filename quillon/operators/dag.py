@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
     """(node, level): the longest path from a node without inputs; null for nodes on or behind a cycle. One round per
@@ -17,7 +19,7 @@ def levels(spark: SparkSession, nodes: DataFrame, edges: DataFrame, most: int =
     while level < most:
         got = edges.join(placed.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("got"), (F.max("level") + 1).alias("level"))
         fresh = needs.join(got, "node").where("needs = got").select("node", "level")
-        placed = placed.where("level = 0").unionByName(fresh).checkpoint()
+        placed = staged(placed.where("level = 0").unionByName(fresh), "levels")
         now = placed.count()
         if now == count:
             break

@@ -63,7 +63,8 @@ def detect_language(df: DataFrame, text: str, out: str) -> DataFrame:
     ahead of any other language's."""
     t = F.col(text)
     df = df.withColumn("_words", F.split(F.lower(t), r"[^\p{L}]+"))
-    hits = F.array(*[F.struct(F.size(F.filter("_words", lambda w, v=v: w.isin(*v.split()))).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(FUNCTION_WORDS.items())])
+    among = lambda known: F.size(F.filter("_words", lambda w: w.isin(*known)))
+    hits = F.array(*[F.struct(among(v.split()).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(FUNCTION_WORDS.items())])
     df = df.withColumn("_hits", F.reverse(F.array_sort(hits)))
     best, second = F.col("_hits")[0], F.col("_hits")[1]
     ru, uk = F.regexp_count(t, F.lit(RUSSIAN)), F.regexp_count(t, F.lit(UKRAINIAN))

@@ -42,3 +42,22 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def sample_dir(scale: str = "0.001") -> str:
     return os.path.join("/root/testdata", f"sf{scale}")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder name in the folder that all executors share; in a temporary folder of our own if none is set."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="quillon-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read back, which ends its lineage there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
