@@ -53,24 +53,27 @@ def error_rate(reference: Column, hypothesis: Column) -> Column:
     return 100 * F.levenshtein(reference, hypothesis) / F.char_length(reference)
 
 
-def share(text: Column, pattern: str) -> Column:
-    letters = F.regexp_count(text, F.lit(r"\p{L}"))
-    return F.regexp_count(text, F.lit(pattern)) / F.nullif(letters, F.lit(0))
+def count_chars(text: Column, chars: str) -> Column:
+    """How many characters of a text are in a class, from the length of the text without all others."""
+    return F.char_length(F.regexp_replace(text, f"[^{chars}]+", ""))
 
 
 def detect_language(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the language where the evidence is clear, else null: a script's share of the letters, or function words well
-    ahead of any other language's."""
+    ahead of any other language's. Script shares are only taken of texts that hold a letter beyond the Latin ones."""
     t = F.col(text)
-    df = df.withColumn("_words", F.split(F.lower(t), r"[^\p{L}]+"))
+    df = df.withColumns({"_words": F.split(F.lower(t), r"[^\p{L}]+"), "_letters": count_chars(t, r"\p{L}"), "_beyond": t.rlike(r"[Ͱ-힯]")})
     among = lambda known: F.size(F.filter("_words", lambda w: w.isin(*known)))
     hits = F.array(*[F.struct(among(v.split()).alias("hits"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, v) in enumerate(FUNCTION_WORDS.items())])
     df = df.withColumn("_hits", F.reverse(F.array_sort(hits)))
     best, second = F.col("_hits")[0], F.col("_hits")[1]
     ru, uk = F.regexp_count(t, F.lit(RUSSIAN)), F.regexp_count(t, F.lit(UKRAINIAN))
-    answer = F.when(F.regexp_count(t, F.lit(r"\p{L}")) == 0, F.lit(None))
-    for lang, pattern, least in SCRIPTS:
-        answer = answer.when(share(t, pattern) >= least, lang)
-    answer = answer.when(share(t, CYRILLIC) >= 0.3, F.when(ru > uk, "ru").when(uk > ru, "uk"))
-    answer = answer.when((best.hits >= LEAST_HITS) & (best.hits >= second.hits * LEAD), best.lang)
-    return df.withColumn(out, answer).drop("_words", "_hits")
+    share = lambda chars: count_chars(t, chars.strip("[]")) / F.col("_letters")
+    script = F.when(F.lit(False), F.lit(None).cast("string"))
+    for lang, chars, least in SCRIPTS:
+        script = script.when(share(chars) >= least, lang)
+    cyrillic = share(CYRILLIC) >= 0.3
+    script = script.when(cyrillic, F.when(ru > uk, "ru").when(uk > ru, "uk").otherwise("none"))
+    latin = F.when((best.hits >= LEAST_HITS) & (best.hits >= second.hits * LEAD), best.lang)
+    answer = F.when(F.col("_letters") == 0, F.lit(None)).otherwise(F.coalesce(F.when(F.col("_beyond"), script), latin))
+    return df.withColumn(out, F.nullif(answer, F.lit("none"))).drop("_words", "_letters", "_beyond", "_hits")
