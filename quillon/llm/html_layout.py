@@ -343,7 +343,7 @@ def _table(node: Node, page: Page, seen: bool) -> None:
     def cell(n: Node, seen: bool) -> str:
         inner = Page()
         _children(n, inner, seen, False)
-        return " ".join(inner.done().split("\n")).strip()
+        return " ".join(x.strip() for x in inner.done().split("\n") if x.strip())
 
     def walk(n: Node, seen: bool) -> None:
         row: list[tuple[int, int, str]] | None = None
