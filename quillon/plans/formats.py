@@ -11,7 +11,14 @@ from ..sources import delimited, documents
 from ..streaming import state
 from .registry import Registry
 
-registry = Registry()
+
+def _prepare() -> None:
+    """Columns that several queries use."""
+    global _XML
+    _XML = F.concat(F.lit('<row id="'), "n_nationkey", F.lit('"><name>'), "n_name", F.lit("</name><r>"), "n_regionkey", F.lit("</r></row>"))
+
+
+registry = Registry(_prepare)
 add = registry.add
 
 
@@ -151,7 +158,6 @@ add(
     lambda s, d: table(s, d, "nation").select(documents.map_text(F.concat(F.lit('name = "'), "n_name", F.lit('"\n[meta]\nkey = '), "n_nationkey", F.lit("\ntags = [1, 2]\n")), documents.toml_json).alias("j")).select(F.get_json_object("j", "$.name").alias("name"), F.get_json_object("j", "$.meta.key").cast("int").alias("key"), F.get_json_object("j", "$.meta.tags[1]").alias("tag")),
     "SELECT n_name AS name, n_nationkey AS key, '2' AS tag FROM nation",
 )
-_XML = F.concat(F.lit('<row id="'), "n_nationkey", F.lit('"><name>'), "n_name", F.lit("</name><r>"), "n_regionkey", F.lit("</r></row>"))
 add(
     "a25_xml_records",
     lambda s, d: table(s, d, "nation").select(F.from_xml(_XML, "_id INT, name STRING, r INT").alias("x")).select(F.col("x._id").alias("id"), "x.name", "x.r"),

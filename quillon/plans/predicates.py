@@ -10,7 +10,17 @@ from ..operators import intervals, measures
 from ..session import table
 from .registry import Registry
 
-registry = Registry()
+
+def _prepare() -> None:
+    """Columns that several queries use."""
+    global STATUS, _SRC, _TGT, _STATUS
+    STATUS = F.lit(200) + (F.col("event_id") * 7 % 400)
+    _SRC = F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    _TGT = F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.floor(F.col("p_partkey") / 8) % 8 + 1).cast("int"))
+    _STATUS = F.element_at(F.array(*[F.lit(x) for x in ("active", "trialing", "past_due", "paused", "canceled")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+
+
+registry = Registry(_prepare)
 add = registry.add
 
 add(
@@ -121,7 +131,6 @@ add(
     "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS label, count(*) AS n FROM events GROUP BY 1",
 )
 
-STATUS = F.lit(200) + (F.col("event_id") * 7 % 400)
 add(
     "b11_outcome",
     lambda s, d: table(s, d, "events").groupBy(measures.outcome(STATUS).alias("outcome")).agg(F.count("*").alias("n")),
@@ -130,8 +139,6 @@ add(
 )
 
 FORMATS = ["docx", "pdf", "pages", "xlsx", "png", "mp4", "zip", "csv"]
-_SRC = F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.col("p_partkey") % 8 + 1).cast("int"))
-_TGT = F.element_at(F.array(*[F.lit(f) for f in FORMATS]), (F.floor(F.col("p_partkey") / 8) % 8 + 1).cast("int"))
 _SQL_PAIR = "(SELECT p_partkey, ['docx','pdf','pages','xlsx','png','mp4','zip','csv'][p_partkey % 8 + 1] AS s, ['docx','pdf','pages','xlsx','png','mp4','zip','csv'][(p_partkey // 8) % 8 + 1] AS t, p_size * 2000000 AS size FROM part)"
 _SQL_CLASS = "CASE WHEN t = 'pdf' AND s IN ('docx', 'xlsx') THEN 'office-to-pdf' WHEN t = 'pdf' AND s = 'pages' THEN 'iwork-to-pdf' WHEN s = 'pdf' AND t IN ('docx', 'xlsx') THEN 'pdf-to-office' ELSE 'general' END"
 
@@ -148,7 +155,6 @@ add(
         WHEN s = 'zip' OR t = 'zip' OR size > 10485760 THEN 'cpu' ELSE 'light' END AS resource FROM {_SQL_PAIR}""",
 )
 
-_STATUS = F.element_at(F.array(*[F.lit(x) for x in ("active", "trialing", "past_due", "paused", "canceled")]), (F.col("c_custkey") % 5 + 1).cast("int"))
 add(
     "b14_entitlement",
     lambda s, d: table(s, d, "customer").select(

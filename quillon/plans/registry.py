@@ -10,19 +10,31 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Registry:
-    """Collects the queries of one family."""
+    """Collects the queries of one family. Columns need a running session, which registration does not: `prepare` makes
+    those that a family's queries share, each time before one of them runs."""
 
-    def __init__(self) -> None:
+    def __init__(self, prepare: Callable[[], None] | None = None) -> None:
+        self.prepare = prepare
         self.queries: dict[str, Query] = {}
         self.oracles: dict[str, str] = {}
 
     def add(self, name: str, query: Query, oracle: str | None = None) -> None:
         if name in self.queries:
             raise ValueError(f"query {name} is registered twice")
-        self.queries[name] = query
+        self.queries[name] = self._prepared(query)
         if oracle is not None:
             self.oracles[name] = oracle
 
+    def _prepared(self, query: Query) -> Query:
+        if self.prepare is None:
+            return query
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            self.prepare()
+            return query(spark, sf_dir)
+
+        return run
+
     def query(self, name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         def keep(fn: Query) -> Query:
             self.add(name, fn, oracle)

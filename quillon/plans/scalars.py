@@ -8,7 +8,19 @@ from ..functions import datesx, finance, mathx, rules, textx
 from ..session import table
 from .registry import Registry
 
-registry = Registry()
+
+def _prepare() -> None:
+    """Columns that several queries use."""
+    global q, p, t, disc, signed, name, day, ship, rate, n, pv
+    q, p, t, disc = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount"))
+    signed = q - 25.5
+    name = F.col("c_name")
+    day = F.to_date("o_orderdate")
+    ship = F.to_date("l_shipdate")
+    rate, n, pv = t / 12 + 0.001, F.col("l_linenumber") * 12, p
+
+
+registry = Registry(_prepare)
 add = registry.add
 
 
@@ -16,8 +28,6 @@ def _line(s, d, *cols):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
 
 
-q, p, t, disc = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_tax", "l_discount"))
-signed = q - 25.5
 SIGNED = "(l_quantity - 25.5)"
 
 add(
@@ -74,7 +84,6 @@ add(
     lambda s, d: table(s, d, "orders").select("o_orderkey", mathx.to_base(F.col("o_orderkey") % 512, 2, 10).alias("bin_"), mathx.to_base(F.col("o_orderkey"), 8).alias("oct_"), mathx.to_base(F.col("o_orderkey"), 16, 8).alias("hex_"), mathx.from_base(mathx.to_base(F.col("o_orderkey"), 16), 16).alias("back")),
     "SELECT o_orderkey, lpad(bin(o_orderkey % 512), 10, '0') AS bin_, printf('%o', o_orderkey) AS oct_, lpad(hex(o_orderkey), 8, '0') AS hex_, o_orderkey AS back FROM orders",
 )
-name = F.col("c_name")
 add(
     "h11_text",
     lambda s, d: table(s, d, "customer").select(
@@ -116,7 +125,6 @@ add(
     lambda s, d: table(s, d, "nation").select("n_nationkey", (F.col("n_name") == F.lower("n_name")).alias("exact"), F.chr(F.lit(65) + F.col("n_regionkey")).alias("char_"), F.ascii("n_name").alias("code_")),
     "SELECT n_nationkey, n_name = lower(n_name) AS exact, chr(65 + n_regionkey) AS char_, ascii(n_name) AS code_ FROM nation",
 )
-day = F.to_date("o_orderdate")
 D = "o_orderdate::DATE"
 
 
@@ -146,7 +154,6 @@ add(
     lambda s, d: table(s, d, "events").select("event_id", F.round((F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")) / 86400, 9).alias("fraction"), F.hour("ts").alias("h"), F.to_date(F.date_format("ts", "yyyy-MM-dd")).alias("datevalue")),
     "SELECT event_id, round((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 86400, 9) AS fraction, hour(ts)::INT AS h, ts::DATE AS datevalue FROM events",
 )
-ship = F.to_date("l_shipdate")
 add(
     "h22_working_days",
     lambda s, d: _line(s, d, datesx.networkdays(ship, F.date_add(ship, (q * 1).cast("int"))).alias("networkdays"), datesx.workday(ship, 7).alias("workday")),
@@ -166,7 +173,6 @@ add(
     lambda s, d: table(s, d, "customer").select("c_custkey", textx.column_index(F.element_at(F.array(*[F.lit(x) for x in ("A", "Z", "AA", "ABC")]), (F.col("c_custkey") % 4 + 1).cast("int"))).alias("column_"), F.element_at(F.array("c_name", "c_mktsegment"), (F.col("c_custkey") % 2 + 1).cast("int")).alias("index_")),
     "SELECT c_custkey, [0, 25, 26, 730][c_custkey % 4 + 1] AS column_, [c_name, c_mktsegment][c_custkey % 2 + 1] AS index_ FROM customer",
 )
-rate, n, pv = t / 12 + 0.001, F.col("l_linenumber") * 12, p
 R, N = "(l_tax / 12 + 0.001)", "(l_linenumber * 12)"
 PMT = f"(-{R} * l_extendedprice * power(1 + {R}, {N}) / (power(1 + {R}, {N}) - 1))"
 add(
