@@ -344,10 +344,14 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     or a component has no id at all, one row stays, the first by its text. Rows with the empty set all stay, being
     linked with nothing."""
     found = staged(components(docs, id_col, text_col, percent), "found")
-    # ids that a component but not they themselves is named by go
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    rows = docs.withColumn(P + "id", F.col(id_col))
-    kept = rows.join(gone.select(F.col("id").alias(P + "gone")), F.col(P + "id").eqNullSafe(F.col(P + "gone")), "left_anti")
+    # ids whose component is named by another go; a bounded Bloom filter keeps the other rows out of the exact anti join
+    gone = staged(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(P + "gone")).distinct(), "gone")
+    rows, many = docs.withColumn(P + "id", F.col(id_col)), gone.count()
+    kept = rows
+    if many:
+        maybe = bloom.passes(bloom.build(gone.select(F.xxhash64(P + "gone").alias("h")), "h", many), F.xxhash64(P + "id"), many)
+        asked = rows.where(maybe).join(gone, F.col(P + "id").eqNullSafe(F.col(P + "gone")), "left_anti")
+        kept = rows.where(~maybe).unionByName(asked)
     # rows beyond the first of an id and component are rare: only these are looked at again
     again = found.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n") > 0)).groupBy("id").count().where("count > 1")
     again = staged(again.select(F.col("id").alias(P + "again")), "again")
