@@ -7,7 +7,7 @@ that they hold.
 
 Training is supervised, on a bounded sample of labelled rows: at most about TRAIN_DOCS documents, drawn by hash, with at
 most WINDOWS_PER_DOC windows each at hashed places of the whole text. Weights start from a fixed seed and windows come in
-a fixed order, so reruns agree. The loss weighs languages equally. Prediction reads nothing but the text.
+a fixed order, so reruns agree. The loss weighs a language by the root of its share. Prediction reads nothing but the text.
 
 Defined results: `und` with score 0 for a null text, one without any letter, or if nothing labelled was there to learn
 from. Very long texts are read to the end, in bounded batches. An empty table gives an empty result. Columns that
@@ -32,6 +32,8 @@ FILTERS = 16
 TRAIN_DOCS = 2500
 WINDOWS_PER_DOC = 4
 EPOCHS = 8
+#: Steps that even a small sample is given.
+LEAST_STEPS = 300
 #: Windows whose responses are held at once.
 BLOCK = 32
 
@@ -71,12 +73,15 @@ class ByteCNN:
     def train(self, x: np.ndarray, y: np.ndarray, seed: int = 11, rate: float = 0.02, epochs: int = EPOCHS) -> None:
         """Adam on the class-weighted cross entropy; a pooled response passes its gradient to the place it came from."""
         rng = np.random.default_rng(seed)
-        weight = (len(y) / (len(self.labels) * np.maximum(np.bincount(y, minlength=len(self.labels)), 1))).astype(np.float32)
+        # between equal weights for windows and for languages, so that a few wrong labels can't speak for a language
+        share = np.maximum(np.bincount(y, minlength=len(self.labels)), 1) / len(y)
+        weight = (np.sqrt(1 / (len(self.labels) * share))).astype(np.float32)
         params = [*self.tables, self.dense, self.bias]
         m, v, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         batch = 64
-        for epoch in range(epochs):
-            lr = rate * (0.5 ** (epoch / 3))
+        turns = max(epochs, -(-LEAST_STEPS * batch // len(y)))
+        for epoch in range(turns):
+            lr = rate * 0.5 ** (epoch * epochs / turns / 3)
             order = rng.permutation(len(y))
             for at in range(0, len(y), batch):
                 i = order[at : at + batch]
