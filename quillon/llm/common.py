@@ -47,3 +47,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows, at most, that go to Python at once. Texts may be long, and both sides hold a batch in memory.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the rows of an Arrow batch, if it is above ours."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)

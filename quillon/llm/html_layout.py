@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MAX_DEPTH = 250
 CELL_PAD = 40
 #: Columns that one span may cover, as browsers have it.
@@ -423,4 +425,5 @@ def extract(df: DataFrame, html_col: str, out_col: str) -> DataFrame:
         for series in batches:
             yield series.map(lambda h: render(h if isinstance(h, str) else None))
 
+    bound_batches(df.sparkSession)
     return df.withColumn(out_col, F.pandas_udf(answer, "string")(F.col(html_col)))

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 P = "__language_"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -197,6 +199,7 @@ def predict(df: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataF
                     lang[at + np.array(ask)], score[at + np.array(ask)] = found, p
             yield pd.DataFrame({"lang": lang, "score": score})
 
+    bound_batches(df.sparkSession)
     # so called, it is not run again for each use of its answer
     asked = F.pandas_udf(answer, "lang string, score double").asNondeterministic()
     out = df.withColumn(P + "answer", asked(F.col(text_col)))

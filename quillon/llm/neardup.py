@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import staged
+from .common import bound_batches, staged
 from .components import connected
 from .shingles import COORDINATES, WordHashes, class_key, intersection, shingle_set, signature
 
@@ -236,6 +236,7 @@ class _Finder:
     """The state of one run: classes, postings, sets fetched so far and confirmed links."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int) -> None:
+        bound_batches(docs.sparkSession)
         self.docs, self.percent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent
         kind = self.docs.schema["id"].dataType.simpleString()
         self.rows = staged(self.docs.mapInArrow(_sign, f"id {kind}, n bigint, cls binary, sig array<int>"), "signed")

@@ -26,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 WINDOW = 2048
 SEPARATOR = 1
 #: Text of a group. Its ids, two bytes each, are held in memory while it is packed.
@@ -50,7 +52,7 @@ class WordIds(dict):
     """The ids of a word as little-endian 16-bit numbers, remembered up to a bound. A tokeniser that drops white space
     and never joins across it gives a text's ids as those of its words in a row; plain words go straight to its model."""
 
-    bound = 400_000
+    bound = 150_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -181,7 +183,7 @@ def _pieces(path: str, window: int, tokens: Callable = word_tokens) -> Callable:
 
 
 def _pack_group(window: int) -> Callable:
-    """One group's pieces to packed pieces (id, start, doc_tokens, sequence_id, offset, ids)."""
+    """One group's pieces to packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
@@ -209,7 +211,16 @@ def _pack_group(window: int) -> Callable:
             part = group.select(["id", "start", "doc_tokens"]).take(pa.array(row, pa.int64())).combine_chunks()
             start = pa.array(np.array(plus, np.int64) + part.column("start").to_numpy())
             for b in pa.table(
-                {"id": part["id"], "start": start, "doc_tokens": part["doc_tokens"], "sequence_id": pa.array(seq_id, pa.int64()), "offset": pa.array(offset, pa.int64()), "ids": pa.array(data, pa.binary())}
+                {
+                    "id": part["id"],
+                    "start": start,
+                    "length": pa.array([len(x) // 2 for x in data], pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in data], pa.int64()),
+                    "doc_tokens": part["doc_tokens"],
+                    "sequence_id": pa.array(seq_id, pa.int64()),
+                    "offset": pa.array(offset, pa.int64()),
+                    "ids": pa.array(data, pa.binary()),
+                }
             ).to_batches():
                 yield b
 
@@ -217,32 +228,20 @@ def _pack_group(window: int) -> Callable:
 
 
 def pack_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, start, doc_tokens, sequence_id, offset, ids): the pieces of all sequences, ids as little-endian 16-bit
-    numbers. tokenizer is the path of a vocabulary of at most 65,536 ids that every executor can read."""
+    """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): the pieces of all sequences, ids as
+    little-endian 16-bit numbers, and the CRC-32 of them as 32-bit ones. tokenizer is the path of a vocabulary of at most 65,536 ids that every executor can read."""
+    bound_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     groups = max(1, -(-size // GROUP_BYTES))
     pieces = docs.mapInArrow(_pieces(tokenizer, window), f"id {kind}, start bigint, doc_tokens bigint, ids binary")
     return pieces.repartition(groups).mapInArrow(
-        _pack_group(window), f"id {kind}, start bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
+        _pack_group(window),
+        f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary",
     )
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the length of the ids and the CRC-32 of them as little-endian 32-bit numbers."""
-    for b in batches:
-        ids = [np.frombuffer(x, "<u2") for x in b.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(c) for c in ("id", "start")]
-            + [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64())]
-            + [b.column(c) for c in ("doc_tokens", "sequence_id", "offset")],
-            names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
-        )
-
-
 def digests(packed: DataFrame) -> DataFrame:
-    kind = packed.schema["id"].dataType.simpleString()
-    return packed.mapInArrow(
-        _digest, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    )
+    """The packed pieces without their ids."""
+    return packed.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

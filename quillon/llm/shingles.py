@@ -19,7 +19,7 @@ _B = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)[:, None]
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound; very long words are hashed each time."""
 
-    bound = 400_000
+    bound = 150_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)

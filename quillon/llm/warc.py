@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, staged
+from .common import bound_batches, new_path, staged
 from .zipwarc import Package, PackageWriter, digest
 
 #: Payload bytes of a package.
@@ -89,6 +89,7 @@ def _writer(folder: str) -> Callable:
 def write_packages(pages: DataFrame, id_col: str, payload: Column, least: int = 0) -> tuple[str, DataFrame]:
     """The folder of the packages, and the staged table (name, records) of them."""
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = new_path(spark, "packages")
     size = pages.agg(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0))).collect()[0][0]
     parts = max(int(spark.sparkContext.defaultParallelism), -(-size // PACKAGE_BYTES))
