@@ -157,7 +157,8 @@ def cascade(rules: list[Rule]) -> Column:
 
 
 def judge(df: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """df with prefixed measures, base_failed, and failed_rule: null if the text passes everything."""
+    """df with prefixed measures, base_failed, and failed_rule: null if the text passes everything. To filter by it, use
+    keep(): the planner would push a filter below the steps that build the measures, and build them anew for each use."""
     rules = ordered(estimate(df, default_rules() if rules is None else rules, text))
     df = measures(df, text).withColumn(P + "base_failed", base_failed())
     return df.withColumn(P + "failed_rule", F.when(F.col(P + "base_failed"), F.lit("base")).otherwise(cascade(rules)))
