@@ -154,3 +154,21 @@ add(
     """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders)
        SELECT o_orderkey FROM o WHERE (r - 1) % power(2, greatest(0, ceil(log2(n / 4000))))::INT = 0""",
 )
+
+
+def _tables(s, d):
+    """A region's nations as a table, against the same with every name's first letter lost and a row too many."""
+    from ..operators.treescore import teds_column
+
+    row = lambda name: F.concat(F.lit("<tr><td>"), F.col("n_nationkey"), F.lit("</td><td>"), name, F.lit("</td></tr>"))
+    n = table(s, d, "nation").select("n_regionkey", F.struct("n_nationkey", row(F.col("n_name")).alias("a"), row(F.expr("substring(n_name, 2)")).alias("b")).alias("r"))
+    t = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    html = lambda f, more: F.concat(F.lit("<table>"), F.array_join(F.col(f"r.{f}"), ""), F.lit(more + "</table>"))
+    return t.select("n_regionkey", F.round(teds_column(html("a", ""), html("b", "<tr><td>x</td></tr>")), 9).alias("teds"))
+
+
+add(
+    "l06_teds",
+    _tables,
+    """SELECT n_regionkey, round(1 - (sum(1.0::DOUBLE / length(n_name)) + 2) / (1 + 3 * count(*) + 2), 9) AS teds FROM nation GROUP BY n_regionkey""",
+)

@@ -110,3 +110,14 @@ def test_series():
     assert series.bd_rate(points, [(r * 0.8, q) for r, q in points]) == pytest.approx(-20.0)
     assert series.bd_psnr(points, [(r, q + 1) for r, q in points]) == pytest.approx(1.0)
     assert [series.sign_test_rank(n, 0.95) for n in (5, 6, 10, 20)] == [0, 1, 2, 6]
+
+
+def test_teds():
+    from quillon.operators.treescore import teds
+
+    a = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>"
+    assert teds(a, a) == 1.0
+    assert teds(a, a.replace("c", "d")) == pytest.approx(1 - 1 / 6)
+    assert teds(a, a.replace("<td>b</td>", "")) == pytest.approx(1 - 1 / 6)
+    assert teds(a, "<table></table>") == pytest.approx(1 / 6)
+    assert teds(a, a.replace("<td>a", '<td colspan="2">a')) == pytest.approx(1 - 1 / 6)
