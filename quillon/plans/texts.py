@@ -172,3 +172,21 @@ add(
     _tables,
     """SELECT n_regionkey, round(1 - (sum(1.0::DOUBLE / length(n_name)) + 2) / (1 + 3 * count(*) + 2), 9) AS teds FROM nation GROUP BY n_regionkey""",
 )
+
+
+def _bands(s, d):
+    """Row projection profiles: characters per line of a document, runs of filled lines as bands, their median height."""
+    lines = table(s, d, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.char_length(F.trim(x)) > 0).alias("ink"))
+    runs = F.filter(F.split(F.array_join(F.transform("ink", lambda i: F.when(i, "#").otherwise(" ")), ""), " +"), lambda r: r != "")
+    bands = lines.select("doc_id", F.transform(runs, lambda r: F.char_length(r)).alias("h"))
+    middle = F.element_at(F.array_sort("h"), F.ceil(F.size("h") / 2).cast("int"))
+    return bands.select("doc_id", F.size("h").cast("long").alias("bands"), F.when(F.size("h") > 0, middle).cast("long").alias("median_height"))
+
+
+add(
+    "l13_projection_bands",
+    _bands,
+    """WITH p AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN length(trim(x)) > 0 THEN '#' ELSE ' ' END), '') AS p FROM documents),
+       h AS (SELECT doc_id, list_sort(list_transform(list_filter(regexp_split_to_array(p, ' +'), lambda r: r <> ''), lambda r: length(r))) AS h FROM p)
+       SELECT doc_id, len(h)::BIGINT AS bands, CASE WHEN len(h) > 0 THEN h[ceil(len(h) / 2)::INT] END::BIGINT AS median_height FROM h""",
+)
