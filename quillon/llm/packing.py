@@ -52,7 +52,7 @@ class WordIds(dict):
     """The ids of a word as little-endian 16-bit numbers, remembered up to a bound. A tokeniser that drops white space
     and never joins across it gives a text's ids as those of its words in a row; plain words go straight to its model."""
 
-    bound = 150_000
+    bound = 300_000
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
