@@ -29,8 +29,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -340,24 +341,54 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("id", "n", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
+def _class_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known = WordHashes()
+    for batch in texts:
+        sets = [shingle_set(text, known) for text in batch]
+        yield pd.Series([class_key(s) if len(s) else None for s in sets], dtype=object)
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with the columns of docs: a row of the least id. Where that id stands in several rows,
-    or a component has no id at all, one row stays, the first by its text. Rows with the empty set all stay, being
-    linked with nothing."""
-    found = staged(components(docs, id_col, text_col, percent), "found")
-    # ids whose component is named by another go; a bounded Bloom filter keeps the other rows out of the exact anti join
-    gone = staged(found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(P + "gone")).distinct(), "gone")
-    rows, many = docs.withColumn(P + "id", F.col(id_col)), gone.count()
-    kept = rows
+    """One row of each component, with the columns of docs: a row of the least id, null if none has one, and of the least
+    class key under it; where several rows have both, the first by its text. Only rows of one component are merged: null
+    and repeated ids don't name a row, so these go by id and class. Rows with the empty set all stay, being linked with
+    nothing."""
+    run = _Finder(docs, id_col, text_col, percent)
+    run.run()
+    nodes = run.classes.select("cls", "mid", F.col("nid").alias("component"))
+    if run.links is not None:
+        found = connected(run.links, "a", "b").withColumnRenamed("node", "nid").withColumnRenamed("component", "c")
+        nodes = run.classes.join(found, "nid", "left").select("cls", "mid", F.coalesce("c", "nid").alias("component"))
+    first = nodes.groupBy("component").agg(F.min(F.struct(F.col("mid").isNull().alias("unnamed"), "mid", "cls")).alias("x"))
+    first = staged(first.select("x.mid", "x.cls"), "first")
+    # whether a row's id and class are those that stay
+    rows = run.rows.select("id", "cls").join(first.withColumn("best", F.lit(True)), "cls", "left")
+    stays = F.col("cls").isNull() | (F.col("best") & F.col("id").eqNullSafe(F.col("mid")))
+    ids = rows.select("id", F.coalesce(stays, F.lit(False)).alias("stays")).groupBy("id").agg(F.count("*").alias("c"), F.max("stays").alias("stays"))
+    # ids that don't stay go as a whole, those of several rows are looked at by class, and all others stay
+    asked = ids.where("id IS NOT NULL AND (NOT stays OR c > 1)").select(F.col("id").alias(P + "asked"), "stays")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    asked, of = staged(asked, "asked"), docs.withColumn(P + "id", F.col(id_col))
+
+    def among(ids: DataFrame, many: int) -> Column:
+        """A bounded Bloom filter of ids, which keeps other rows out of an exact join."""
+        return bloom.passes(bloom.build(ids.select(F.xxhash64(P + "asked").alias("h")), "h", many), F.xxhash64(P + "id"), many)
+
+    again = asked.where("stays").select(P + "asked")
+    many, repeated = asked.agg(F.count("*"), F.count_if("stays")).collect()[0]
+    same, named = F.col(P + "id") == F.col(P + "asked"), of.where(F.col(P + "id").isNotNull())
+    kept, doubtful = named, of.where(F.col(P + "id").isNull())
     if many:
-        maybe = bloom.passes(bloom.build(gone.select(F.xxhash64(P + "gone").alias("h")), "h", many), F.xxhash64(P + "id"), many)
-        asked = rows.where(maybe).join(gone, F.col(P + "id").eqNullSafe(F.col(P + "gone")), "left_anti")
-        kept = rows.where(~maybe).unionByName(asked)
-    # rows beyond the first of an id and component are rare: only these are looked at again
-    again = found.where(F.col("id").eqNullSafe(F.col("component")) & (F.col("n") > 0)).groupBy("id").count().where("count > 1")
-    again = staged(again.select(F.col("id").alias(P + "again")), "again")
-    if not again.isEmpty():
-        same = F.col(P + "id").eqNullSafe(F.col(P + "again"))
-        one = kept.join(again, same, "left_semi").dropDuplicates([P + "id"])
-        kept = kept.join(again, same, "left_anti").unionByName(one)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+        maybe = among(asked, many)
+        kept = named.where(~maybe).unionByName(named.where(maybe).join(asked, same, "left_anti"))
+    if repeated:
+        doubtful = doubtful.unionByName(named.where(among(again, repeated)).join(again, same, "left_semi"))
+    if repeated or not run.rows.where("id IS NULL").isEmpty():
+        key = F.pandas_udf(_class_keys, "binary")(F.col(f"`{text_col}`").cast("binary"))
+        doubtful = doubtful.withColumn(P + "cls", key)
+        one = doubtful.where(F.col(P + "cls").isNotNull()).groupBy(P + "id", P + "cls").agg(F.min_by(F.struct(*columns), F.col(f"`{text_col}`")).alias(P + "row"))
+        one = one.join(first, F.col(P + "id").eqNullSafe(F.col("mid")) & (F.col(P + "cls") == F.col("cls")), "left_semi")
+        one = one.select(*[F.col(P + "row").getField(c).alias(c) for c in docs.columns])
+        empty = doubtful.where(F.col(P + "cls").isNull())
+        kept = kept.select(*columns).unionByName(empty.select(*columns)).unionByName(one)
+    return kept.select(*columns)

@@ -94,6 +94,30 @@ def test_one_row_of_each_group_stays(spark, odd_docs):
     assert [g for g in got if not shingles(g[1])] and sum(not shingles(t) for _, t in got) == sum(not shingles(t) for _, t in rows)
 
 
+def kept_texts(spark, rows):
+    return sorted(((str(r["doc_id"]), r["text"]) for r in neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+
+def test_rows_without_an_id_are_merged_only_in_their_group(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2] + " end"), (None, ""), (None, None), (None, " ")]
+    rows += [(1, texts[3]), (None, texts[3]), (2, texts[4]), (None, texts[4].upper())]
+    got = kept_texts(spark, rows)
+    texts_of = [t for i, t in got if i == "None"]
+    assert {texts[0], texts[1], "", " ", None} <= set(texts_of) and len(texts_of) == 6
+    assert sum(t in (texts[2], texts[2] + " end") for t in texts_of if t) == 1
+    assert [g for g in got if g[0] != "None"] == [("1", texts[3]), ("2", texts[4])]
+
+
+def test_a_repeated_id_keeps_its_unlinked_texts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(5)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[2]), (7, None), (7, ""), (3, texts[2]), (9, texts[3]), (9, texts[3]), (9, texts[3].upper()), (8, texts[4])]
+    want = [("3", texts[2]), ("7", ""), ("7", None), ("7", texts[0]), ("7", texts[1]), ("8", texts[4]), ("9", texts[3].upper())]
+    assert sorted(kept_texts(spark, rows), key=str) == sorted(want, key=str)
+
+
 def test_kernel():
     known = WordHashes()
     rng = random.Random(1)
