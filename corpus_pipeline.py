@@ -5,7 +5,8 @@ documents; the last returns the packed pieces with a digest of their ids. A stag
 shared folder and read again by the next.
 
 Documents without a text, or without a letter in it, have no language and go, as do those whose language is in doubt;
-what fails a quality rule goes; of each group of near-duplicates the one with the least id stays, once; the mix repeats
+what fails a quality rule goes; of each group of near-duplicates, texts that share 80 percent or more of their five-word
+shingles, the one with the least id stays, once; the mix repeats
 or leaves out documents until the sources come near their targets, so its output holds some documents several times. An
 empty table passes through all stages."""
 
@@ -20,6 +21,8 @@ from quillon.llm.common import staged
 
 #: Below this score a language is in doubt: no language has half of the probability.
 LEAST_SCORE = 0.5
+#: Similarity, in hundredths, from which texts are near-duplicates.
+NEAR_PERCENT = 80
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -38,7 +41,7 @@ def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.representatives(docs)
+    return neardup.representatives(docs, percent=NEAR_PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,19 +4,21 @@
    with equal sets form one class, so copies of any number cost one node.
 2. Every class is posted under its (coordinate, value) pairs. Values that occur once are dropped, since they can't
    collide; the rest are ordered from rare to frequent, the same way for all. Two classes that agree in at least
-   MATCHES coordinates must meet under one of the 64 - MATCHES + 1 rarest values of both, so only this prefix is merged:
+   matches(percent) coordinates must meet under one of the 64 - matches(percent) + 1 rarest values of both, so only this prefix is merged:
    the long lists are skipped, and probed through the full signatures that each posting carries.
 3. Lists are walked in their tasks. Collisions are counted on the spot, and a list yields no pairs but the edges of its
-   maximum spanning forest over counts of at least MATCHES: fewer than it has members. These pairs are confirmed by the
+   maximum spanning forest over counts of at least matches(percent): fewer than it has members. These pairs are confirmed by the
    exact Jaccard similarity of the full sets, and the confirmed links make components.
-4. Lists that still mix components are walked again: the members that agree in MATCHES coordinates with one of another
-   component get their full sets, and are compared exactly with all of these; again a list yields a forest of confirmed
+4. Lists that still mix components are walked again: the members that agree in matches(percent) coordinates with one of
+   another component get their full sets, and are compared exactly with all of these; again a list yields a forest of confirmed
    links. Pairs inside a component need no look, so no group is multiplied out, and no pair between components is left
    out. Lists that are long, or heavy, are cut into blocks, and each pair of blocks is walked as a list of its own, so
    that no task holds more than two blocks.
 
-A pair at the similarity 0.85 misses MATCHES = 42 of 64 coordinates with a probability of about 3 in 100,000, and the
-more similar, the less. Everything behind that is exact.
+matches(percent) follows from the wanted similarity, so that a pair exactly there agrees in fewer coordinates with a
+probability of at most MISS = 5 in 100,000, and the more similar, the less: 42 of 64 at 85 percent (3.0 in 100,000), 38
+at 80 (4.3), 30 at 70 (3.4), 17 at 50 (3.9). Below 15 percent no number of coordinates holds that, which is an error.
+Everything behind that is exact.
 
 Defined results: null or empty texts, and texts without words, have the empty set and are linked with nothing. A text
 of fewer words than a shingle has is linked only with equal word sequences. Rows without an id take part; a component's
@@ -26,6 +28,7 @@ text columns are read, so other columns don't matter, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +42,8 @@ from .common import bound_batches, staged
 from .components import connected
 from .shingles import COORDINATES, WordHashes, class_key, intersection, shingle_set, signature
 
-#: Coordinates in which a pair must agree to be confirmed.
-MATCHES = 42
+#: Probability, at most, with which a pair at exactly the wanted similarity is missed.
+MISS = 5e-5
 #: Similarity of linked texts, in hundredths.
 PERCENT = 85
 #: Members of a block of a list, and shingles.
@@ -51,6 +54,20 @@ P = "__neardup_"
 CHUNK = 256
 
 
+def matches(percent: int) -> int:
+    """Coordinates in which a pair must agree to be confirmed: the most that a pair of this similarity reaches but for
+    MISS. Each coordinate agrees with the similarity as its probability."""
+    p, most, below = percent / 100, 0, 0.0
+    while most < COORDINATES:
+        below += math.comb(COORDINATES, most) * p**most * (1 - p) ** (COORDINATES - most)
+        if below > MISS:
+            break
+        most += 1
+    if not most:
+        raise ValueError(f"{COORDINATES} coordinates can't find pairs at {percent} percent")
+    return most
+
+
 def _texts(column: pa.ChunkedArray | pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
@@ -112,6 +129,7 @@ def _fits(n: int, m: np.ndarray, percent: int) -> np.ndarray:
 
 def _forest(percent: int):
     """Lists of (key, i, j, nid, n, sig) to the edges of their maximum spanning forests."""
+    enough = matches(percent)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ys, held = [], [], 0
@@ -132,7 +150,7 @@ def _forest(percent: int):
                 if done.all():
                     break
                 now = int(np.where(done, -2, best).argmax())
-                if best[now] >= MATCHES:
+                if best[now] >= enough:
                     xs.append(nid[now : now + 1])
                     ys.append(nid[by[now] : by[now] + 1])
                     held += 1
@@ -145,8 +163,9 @@ def _forest(percent: int):
 
 
 def _live(percent: int):
-    """Lists of (key, i, j, nid, n, sig, component) to (key, i, j, nid): the members that agree in MATCHES coordinates
-    with a member of another component."""
+    """Lists of (key, i, j, nid, n, sig, component) to (key, i, j, nid): the members that agree in matches(percent)
+    coordinates with a member of another component."""
+    enough = matches(percent)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _lists(batches):
@@ -158,7 +177,7 @@ def _live(percent: int):
             live = np.zeros(len(of), bool)
             for u in np.flatnonzero(which != counts.argmax()).tolist():
                 near = (of != of[u]) & _fits(n[u], n, percent)
-                near[near] = (sig[near] == sig[u]).sum(axis=1) >= MATCHES
+                near[near] = (sig[near] == sig[u]).sum(axis=1) >= enough
                 if near.any():
                     live |= near
                     live[u] = True
@@ -258,7 +277,7 @@ class _Finder:
         )
         counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         common = keys.join(counts, "key").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("l"))
-        prefix = COORDINATES - MATCHES + 1
+        prefix = COORDINATES - matches(self.percent) + 1
         many = prefix - (COORDINATES - F.size("l"))
         posted = common.where(many > 0).select("nid", F.explode(F.slice("l", F.lit(1), many)).alias("x"))
         posted = staged(

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quillon.llm import neardup
 from quillon.llm.components import connected
 from quillon.llm.queries import QUERIES
@@ -118,6 +120,27 @@ def test_a_repeated_id_keeps_its_unlinked_texts(spark):
     assert sorted(kept_texts(spark, rows), key=str) == sorted(want, key=str)
 
 
+def test_coordinates_follow_from_the_similarity():
+    assert [neardup.matches(p) for p in (100, 85, 80, 70, 50, 15)] == [64, 42, 38, 30, 17, 1]
+    with pytest.raises(ValueError):
+        neardup.matches(14)
+
+
+def test_pairs_at_lower_similarities_against_brute_force(spark):
+    rng = random.Random(12)
+    for percent, own in ((80, 100), (50, 44)):  # shingles of a pair: 96 of 120 are common, or 40 of 80
+        rows = []
+        for k in range(250):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(own)]
+            more = [f"w{rng.randrange(10**6)}" for _ in range(12 if percent == 80 else 20)]
+            less = [f"w{rng.randrange(10**6)}" for _ in range(len(more))]
+            rows += [(2 * k, " ".join(base + more)), (2 * k + 1, " ".join(less + base))]
+        found = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+        want = {(i, i - i % 2) for i in range(500)}
+        assert {(doc, least) for doc, _, least, _ in brute(rows[:20], percent)} == {w for w in want if w[0] < 20}
+        assert {(r["id"], r["component"]) for r in found} == want
+
+
 def test_kernel():
     known = WordHashes()
     rng = random.Random(1)

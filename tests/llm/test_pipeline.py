@@ -47,3 +47,15 @@ def test_run_is_the_stages_in_a_row(spark, odd_dir):
     key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
     assert key(out) == key(docs)
     assert language.P not in "".join(out.columns)
+
+
+def test_near_duplicates_from_four_fifths_on_go(spark, tmp_path):
+    words = [f"w{i}" for i in range(1000)]
+    pairs = [(100, 12), (100, 10), (100, 14)]  # words in common and own: similarities of 96/120, 96/116 and 96/124
+    rows = []
+    for k, (both, own) in enumerate(pairs):
+        base = [f"{w}x{k}" for w in words[:both]]
+        rows += [(2 * k, " ".join(base + [f"a{i}x{k}" for i in range(own)])), (2 * k + 1, " ".join([f"b{i}x{k}" for i in range(own)] + base))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]
