@@ -10,12 +10,13 @@ become siblings, so their text is kept.
 
 Visibility: head matter, scripts, styles, templates, noscript, media fallbacks and data lists are not shown, nor elements
 that are `hidden`, `display: none`, a closed dialog, or a hidden input; `visibility: hidden` hides text until a descendant
-says `visible`. Closed details are shown, since their text is the page's.
+says `visible`. Closed details are shown, since their text is the page's. Of drawings (svg) the text labels and foreign
+objects are shown, of formulas (MathML) all but annotations and phantoms.
 
 Layout: white space collapses except in `pre`, `textarea`, `listing`; paragraphs, headings, lists, tables and the like are
 set off by a blank line, other blocks by a line break; nested lists are indented; ordered lists count from `start`, with
 `value` and `reversed`; a table's cells line up in columns, spans counted, cells of more than CELL_PAD characters not
-padded after. Nothing is cut.
+padded after. A cell is one line: blocks, lists and tables in it lose their line breaks, but no text.
 
 Defined results: null gives an empty text; so does a page without visible text. Any malformed input gives a text.
 """
@@ -43,8 +44,11 @@ RAW = _words("script style xmp iframe noembed noframes")
 ESCAPABLE = _words("textarea title")
 HEAD = _words("title meta link base style script template noscript basefont bgsound")
 NOT_SHOWN = _words(
-    "head script style template noscript noembed noframes iframe title meta link base object video audio canvas svg math datalist area param source track rp map"
+    "head script style template noscript noembed noframes iframe title meta link base object video audio canvas datalist area param source track rp"
 )
+#: Elements of a drawing and of a formula that have no visible text.
+DRAWN_UNSEEN = _words("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter")
+MATH_UNSEEN = _words("annotation annotation-xml mphantom")
 SPACED = _words("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset listing menu")
 BLOCK = SPACED | _words(
     "html body div section article aside header footer nav main address li dt dd tr thead tbody tfoot caption form figcaption details summary legend center dir dialog hgroup search option optgroup"
@@ -135,6 +139,8 @@ def parse(html: str) -> Node:
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
         stack[-1].kids.append(node)
+        if raw.endswith("/") and any(n.tag in ("svg", "math") for n in stack):
+            continue
         if tag in RAW or tag in ESCAPABLE:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
@@ -284,6 +290,15 @@ def _render(node: Node, page: Page, seen: bool, keep: bool) -> None:
         page.block(2)
     elif tag in ("ul", "ol", "menu", "dir"):
         _list(node, page, seen)
+    elif tag == "svg":
+        _drawing(node, page, seen)
+    elif tag == "math":
+        gap = "block" in node.raw and node.attrs().get("display", "").lower() == "block"
+        if gap:
+            page.block(1)
+        _formula(node, page, seen)
+        if gap:
+            page.block(1)
     elif tag in BLOCK:
         gap = 2 if tag in SPACED else 1
         page.block(gap)
@@ -299,6 +314,35 @@ def _render(node: Node, page: Page, seen: bool, keep: bool) -> None:
         _children(node, page, seen, keep)
 
 
+def _drawing(node: Node, page: Page, seen: bool) -> None:
+    """The labels of a drawing, set off by spaces, and the pages within it; other strings in a drawing are not shown."""
+    for kid in node.kids:
+        if isinstance(kid, str) or kid.tag in DRAWN_UNSEEN:
+            continue
+        ok, inside = shown(kid, seen)
+        if not ok or ("display" in kid.raw and kid.attrs().get("display") == "none"):
+            continue
+        if kid.tag in ("text", "foreignobject"):
+            page.space = True
+            _children(kid, page, inside, False)
+            page.space = True
+        else:
+            _drawing(kid, page, inside)
+
+
+def _formula(node: Node, page: Page, seen: bool) -> None:
+    for kid in node.kids:
+        if isinstance(kid, str):
+            if seen:
+                page.text(kid)
+        elif kid.tag.startswith("m") and kid.tag not in MATH_UNSEEN or kid.tag == "semantics":
+            ok, inside = shown(kid, seen)
+            if ok:
+                _formula(kid, page, inside)
+        elif kid.tag not in MATH_UNSEEN:
+            _render(kid, page, seen, False)
+
+
 def _list(node: Node, page: Page, seen: bool) -> None:
     outer, nested = page.indent, bool(page.indent)
     gap = 1 if nested else 2

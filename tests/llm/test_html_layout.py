@@ -78,3 +78,13 @@ def test_query_holds_all_words(spark, tables):
     d = tables("pages", rows, "page_id long, url string, html string")
     out = [(r["page_id"], [w for w in r["text"].split() if w != "-"], r["n_chars"] == len(r["text"])) for r in QUERIES["op1_layout_text"](spark, d).collect()]
     assert sorted(out) == sorted((i, words_of(h), True) for i, _, h in rows)
+
+
+def test_text_of_formulas_drawings_and_maps():
+    math = "<p>As <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2tex</annotation></semantics></math> shows"
+    assert render(math) == "As x=2 shows"
+    assert render("a<math display=block><mi>E</mi></math>b") == "a\nE\nb"
+    svg = "<p>See <svg><title>no</title><desc>no</desc><defs><text>no</text></defs>no<path d='M0'/><g><text>left <tspan>label</tspan></text><rect/><text>right</text></g></svg>here"
+    assert render(svg) == "See left label right here"
+    assert render("<svg><style/><text>a</text><text display='none'>b</text><foreignObject><p>c</p></foreignObject></svg>d") == "a\n\nc\n\nd"
+    assert render("x <map name=m><area href=#>links: <a href=#>one</a></map> y") == "x links: one y"
