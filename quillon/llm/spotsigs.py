@@ -3,7 +3,8 @@
 A spot is an occurrence of an anchor, one of a few very common words; its signature is the anchor with the chain of the
 next CHAIN content words, anchors in between skipped. A text's fingerprint is the set of its signatures' 32-bit hashes,
 ascending, as hex digits, eight each; a text with words but without any spot has the hash of its whole word sequence as
-its one signature, so that different texts stay apart. Likeness of two fingerprints is the Jaccard similarity of their
+its one signature, so that different texts stay apart. Anchors are lists of some languages; near_duplicates() signs texts
+in which they are rare by all chains of consecutive words, but a query of fingerprints does not. Likeness of two fingerprints is the Jaccard similarity of their
 sets, pruned: sets whose lengths alone keep them under a wanted likeness are not intersected.
 
 near_duplicates() compares all texts: fingerprints are grouped first, so copies cost one; they are partitioned by set
@@ -29,21 +30,43 @@ from pyspark.sql import functions as F
 from .common import staged
 from .sharding import search
 
-# fixed values: frequent function words of English, French, German and Spanish
+# fixed values: frequent function words of English, French, German, Spanish and other languages of Europe and its
+# neighbours; words that are common content words of the first four are left out
 ANCHORS = (
     "the of and to in is that for it as was with be by on are this from at an or which not have has had they their but "
     "le la les des et du un une dans que qui pour par est sur au pas plus avec ce il elle "
     "der die das und den von zu mit sich dem ein eine auf nicht im ist auch es als an "
-    "el los las del una con por para se su al como más lo no"
+    "el los las del una con por para se su al como más lo no "
+    "il che di è della delle dei nel alla sono anche gli questo "
+    "não uma os da mas são também ao pela pelo "
+    "het een en niet zijn voor met aan ook maar wordt deze "
+    "och att det som är på av inte ett till hon jag har "
+    "og ikke af til være blev eller fra "
+    "ja se oli että hän mutta niin kun myös joka ovat kuin sitä "
+    "i w z na się nie że do jak przez był dla są od po tym który "
+    "v že je si ve jsem byl ako sú som alebo "
+    "és hogy nem egy az volt csak ez "
+    "și în cu este să din pentru "
+    "ve bir bu için ile da de çok ama gibi daha olarak olan ne "
+    "и в не на что он с как это по но его к из у за от же был для о так а "
+    "і що та це як від у до із є й "
+    "και το η του της να με που στο στην είναι από για δεν "
+    "في من على أن إلى هذا التي الذي عن كان ما لا و "
+    "של את על לא הוא זה כי עם גם "
+    "और के है में की से को का यह पर "
+    "yang dan untuk dengan tidak ini itu dari pada adalah"
 ).split()
 CHAIN = 2
+#: Words of which one at least should start a spot.
+SPARSE = 20
 #: Ids of a range of with_next(), and most ranges.
 RANGE_ROWS = 2_000
 MOST_RANGES = 20_000
 
 
-def with_signatures(df: DataFrame, text: Column, out: str) -> DataFrame:
-    """Adds the sorted distinct 32-bit signature hashes of a text."""
+def with_signatures(df: DataFrame, text: Column, out: str, chains: bool = False) -> DataFrame:
+    """Adds the sorted distinct 32-bit signature hashes of a text. With `chains`, texts with fewer than one spot in SPARSE
+    words are signed by their chains of CHAIN + 1 consecutive words."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     words, spots, content, whole = out + "_words", out + "_spots", out + "_content", out + "_plain"
     anchor = lambda w: w.isin(*sorted(set(ANCHORS)))
@@ -59,6 +82,13 @@ def with_signatures(df: DataFrame, text: Column, out: str) -> DataFrame:
     text_col = F.col(whole)
     alone = F.when(text_col != "", F.array(F.xxhash64(text_col, F.lit("whole")).bitwiseAND(0xFFFFFFFF))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(out + "_hashed", F.array_sort(F.array_distinct(hashed)))
+    if chains:
+        each = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(words) - CHAIN - 1, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(CHAIN + 1)], F.lit("chain")).bitwiseAND(0xFFFFFFFF),
+        )
+        sparse = (F.size(words) > CHAIN) & (SPARSE * F.size(out + "_hashed") < F.size(words))
+        df = df.withColumn(out + "_hashed", F.when(sparse, F.array_sort(F.array_distinct(each))).otherwise(F.col(out + "_hashed")))
     found = F.when(F.size(out + "_hashed") > 0, F.col(out + "_hashed")).otherwise(alone)
     return df.withColumn(out, found).drop(whole, words, spots, content, out + "_hashed")
 
@@ -122,7 +152,7 @@ def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(fingerprint class pairs a, b, likeness) and (id, class): texts by fingerprint, and the classes alike by `least` or
     more. Classes without signatures are alike to nothing."""
-    rows = with_signatures(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"), "sigs")
+    rows = with_signatures(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), F.col("text"), "sigs", chains=True)
     rows = staged(rows.select("id", "sigs", F.sha2(fingerprint(F.col("sigs")), 256).alias("class")), "spots")
     sets = staged(rows.where(F.size("sigs") > 0).groupBy("class").agg(F.first("sigs").alias("sigs")), "spotsets")
     counts = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count("*").alias("c"))

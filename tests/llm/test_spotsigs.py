@@ -69,3 +69,25 @@ def test_near_duplicates_against_brute_force(spark):
     got = {frozenset((r["a"], r["b"])) for r in pairs.collect()}
     want = {frozenset((cls[i], cls[j])) for i in range(len(texts)) for j in range(i) if spots(texts[i]) and cls[i] != cls[j] and like(spots(texts[i]), spots(texts[j])) >= 0.8}
     assert got == want and want
+
+
+def test_spots_in_other_languages(spark):
+    texts = [
+        "To jest dom, który stoi na wzgórzu, i nie ma w nim nikogo, ale przez okno widać się las",
+        "Это был дом на холме, и в нём не было никого, но из окна был виден лес",
+        "Bu ev bir tepenin üzerinde duruyor ve içinde kimse yok ama pencereden çok güzel bir orman görünüyor",
+        "Talo on mäellä ja siellä ei ole ketään mutta ikkunasta näkyy metsä joka oli vanha niin kuin talo",
+    ]
+    df = spark.createDataFrame([(t, t + " xyz") for t in texts], "a string, b string")
+    df = spotsigs.with_signatures(spotsigs.with_signatures(df, df.a, "x"), df.b, "y")
+    for r in df.select("x", "y", spotsigs.likeness(df["x"], df["y"]).alias("l")).collect():
+        assert len(r["x"]) > 2 and r["l"] > 0.5
+
+
+def test_near_duplicates_of_texts_without_anchors(spark):
+    base = [" ".join(f"q{i}k{k}" for k in range(60)) for i in range(10)]
+    texts = base + [b.rsplit(" ", 1)[0] + " other" for b in base] + ["lone pair", "pair"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pairs, members = spotsigs.near_duplicates(df, least=0.8)
+    cls = {r["id"]: r["class"] for r in members.collect()}
+    assert {frozenset((r["a"], r["b"])) for r in pairs.collect()} == {frozenset((cls[i], cls[i + 10])) for i in range(10)}
