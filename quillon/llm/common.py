@@ -14,9 +14,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as spark.checkpoint.dir names it; a folder of our own only if unset."""
+    """The folder that all executors share, as spark.checkpoint.dir names it. Where it is unset, a folder of our own, if
+    driver and executors are one process; on a cluster that is an error, since no folder of one machine is shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="quillon-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,3 +62,15 @@ def bound_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+
+
+#: Bytes for each core, below which a table is too small to be left in the splits of its files.
+SPREAD_BYTES = 2_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if the planner's estimate says that it is so small that its few row groups would leave most of
+    them idle; larger tables stay in the splits of their files and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
