@@ -1,14 +1,16 @@
 """Packing token sequences by minimum bin slack.
 
 Texts are tokenised whole; a text's ids end with a separator id. Full windows are cut off the front of a text, and what
-remains, 1 to window - 1 ids, is a piece to be packed. Pieces are dealt evenly over groups of about GROUP_BYTES of text.
-In a group, each window starts with the longest piece left; a bitset subset-sum over the multiset of the remaining
+remains, 1 to window - 1 ids, is a piece to be packed. Full windows are sequences at once; pieces are gathered, in the
+order of the records, in groups of about GROUP_IDS ids, so what was shuffled together is packed together. In a group, each window starts with the longest piece left; a bitset subset-sum over the multiset of the remaining
 lengths, longest first, finds which totals the rest of the window can take; the highest reachable total wins, at once if
 it fills the window, and the counts of each length are backtracked. When too few pieces are left for a good fit, the
 next piece is cut to fill the window, so a group leaves one short sequence at most.
 
-Records are dealt round-robin, not by a key, so no source, group of copies or long text can gather in one task; a group
-is sorted before it is packed, so a task that runs again gives the same sequences.
+Records stay in the partition in which they are read, and nothing is exchanged by a key, so no source, group of copies or
+long text can gather in one task; what a task holds is a group, whatever its partition. Partitions of less text than
+that are read together first, so that short sequences stay few. A task that runs again reads the same records in the same
+order and gives the same sequences.
 
 Defined results: a null text is an empty one, whose ids are the separator alone. Repeated rows are packed each on their
 own. An empty table gives an empty result. Very long texts give many full windows. Only the named columns are read.
@@ -26,12 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, spread
 
 WINDOW = 2048
 SEPARATOR = 1
-#: Text of a group. Its ids, two bytes each, are held in memory while it is packed.
-GROUP_BYTES = 16_000_000
+#: Ids of a group, two bytes each, that are held in memory while it is packed, and its pieces at most.
+GROUP_IDS = 4_000_000
+GROUP_PIECES = 200_000
+#: Text of a task, at least, and of a task of a table that has less than that for each core; what a record counts besides
+#: its text.
+TASK_BYTES = 16_000_000
+LEAST_BYTES = 3_000_000
+RECORD_BYTES = 64
 CHUNK = 256
 
 
@@ -153,91 +161,74 @@ def pack(lengths: list[int], window: int = WINDOW) -> list[list[tuple[int, int,
     return out
 
 
-def _pieces(path: str, window: int, tokens: Callable = word_tokens) -> Callable:
-    """(id, text) rows to (id, start, doc_tokens, ids) rows: full windows and the rest."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(at, CHUNK)
-                rows, starts, totals, ids = [], [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    t = tokens(text or "", known)
-                    for s in range(0, len(t), 2 * window):
-                        rows.append(i)
-                        starts.append(s // 2)
-                        totals.append(len(t) // 2)
-                        ids.append(t[s : s + 2 * window])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(rows, pa.int64())),
-                        pa.array(starts, pa.int64()),
-                        pa.array(totals, pa.int64()),
-                        pa.array(ids, pa.binary()),
-                    ],
-                    names=["id", "start", "doc_tokens", "ids"],
-                )
-
-    return cut
-
-
-def _pack_group(window: int) -> Callable:
-    """One group's pieces to packed pieces."""
+def _packer(path: str, window: int, tokens: Callable = word_tokens) -> Callable:
+    """(id, text) rows to packed pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
-        if group is None:
-            return
-        group = group.sort_by([("id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
-        first = TaskContext.get().partitionId() << 32
-        ids = group.column("ids").to_pylist()
-        size = [len(x) // 2 for x in ids]
-        full = [i for i, n in enumerate(size) if n == window]
-        rest = [i for i, n in enumerate(size) if n < window]
-        sequences = [[(i, 0, window)] for i in full]
-        sequences += [[(rest[k], s, n) for k, s, n in seq] for seq in pack([size[i] for i in rest], window)]
-        for at in range(0, len(sequences), 1024):
-            row, plus, seq_id, offset, data = [], [], [], [], []
-            for q, seq in enumerate(sequences[at : at + 1024]):
+        known = WordIds(path)
+        sequence = TaskContext.get().partitionId() << 32
+        group, held = [], 0  # pieces (id, start, ids of the document, ids), and how many ids they have
+        out: list[tuple] = []
+        kind = None
+
+        def flush() -> None:
+            nonlocal sequence, held
+            for seq in pack([len(p[3]) // 2 for p in group], window):
                 place = 0
                 for i, s, n in seq:
-                    row.append(i)
-                    plus.append(s)
-                    seq_id.append(first + at + q)
-                    offset.append(place)
-                    data.append(ids[i][2 * s : 2 * (s + n)])
+                    doc, start, total, ids = group[i]
+                    out.append((doc, start + s, n, total, sequence, place, ids[2 * s : 2 * (s + n)]))
                     place += n
-            part = group.select(["id", "start", "doc_tokens"]).take(pa.array(row, pa.int64())).combine_chunks()
-            start = pa.array(np.array(plus, np.int64) + part.column("start").to_numpy())
-            for b in pa.table(
-                {
-                    "id": part["id"],
-                    "start": start,
-                    "length": pa.array([len(x) // 2 for x in data], pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in data], pa.int64()),
-                    "doc_tokens": part["doc_tokens"],
-                    "sequence_id": pa.array(seq_id, pa.int64()),
-                    "offset": pa.array(offset, pa.int64()),
-                    "ids": pa.array(data, pa.binary()),
-                }
-            ).to_batches():
-                yield b
+                sequence += 1
+            group.clear()
+            held = 0
+
+        for whole in batches:
+            kind = whole.schema.field(0).type
+            for at in range(0, whole.num_rows, CHUNK):
+                part = whole.slice(at, CHUNK)
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    t = tokens(text or "", known)
+                    total = len(t) // 2
+                    for s in range(0, total, window):
+                        ids = t[2 * s : 2 * (s + window)]
+                        if len(ids) == 2 * window:
+                            out.append((doc, s, window, total, sequence, 0, ids))
+                            sequence += 1
+                        else:
+                            group.append((doc, s, total, ids))
+                            held += len(ids) // 2
+                    if len(out) >= 4096:
+                        yield _batch(out, kind)
+                        out = []
+                    if held >= GROUP_IDS or len(group) >= GROUP_PIECES:
+                        flush()
+        if group:
+            flush()
+        for at in range(0, len(out), 4096):
+            yield _batch(out[at : at + 4096], kind)
 
     return run
 
 
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    doc, start, length, total, sequence, offset, ids = zip(*rows, strict=True)
+    crc = [zlib.crc32(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in ids]
+    whole = {"start": start, "length": length, "ids_crc32": crc, "doc_tokens": total, "sequence_id": sequence, "offset": offset}
+    return pa.RecordBatch.from_arrays([pa.array(doc, kind), *[pa.array(x, pa.int64()) for x in whole.values()], pa.array(ids, pa.binary())], names=["id", *whole, "ids"])
+
+
 def pack_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): the pieces of all sequences, ids as
     little-endian 16-bit numbers, and the CRC-32 of them as 32-bit ones. tokenizer is the path of a vocabulary of at most 65,536 ids that every executor can read."""
-    bound_batches(df.sparkSession)
+    spark = df.sparkSession
+    bound_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
-    groups = max(1, -(-size // GROUP_BYTES))
-    pieces = docs.mapInArrow(_pieces(tokenizer, window), f"id {kind}, start bigint, doc_tokens bigint, ids binary")
-    return pieces.repartition(groups).mapInArrow(
-        _pack_group(window),
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES), F.lit(0))).collect()[0][0]
+    tasks = max(1, -(-size // TASK_BYTES), min(spark.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    return spread(docs).coalesce(tasks).mapInArrow(
+        _packer(tokenizer, window),
         f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary",
     )
 
