@@ -9,11 +9,13 @@
    of the shards draws its number of blocks from the node's counts without replacement, a multivariate hypergeometric
    draw. Shards therefore have nearly equal numbers of blocks and unbiased mixtures, and the counts add up exactly.
 4. Each shard takes the next blocks of each source's permutation, so no block is dealt twice, and a record's order in its
-   shard is a hash.
+   shard is a hash. shuffled() deals the mix out by shard and order: that is its one exchange, into partitions of nearly
+   equal size, each in its own random order.
 
-The tables of blocks and sources have a bounded size, whatever the input: the driver holds them, and records are only ever
-joined with them on the map side. No record is shuffled to be mixed, whatever the size of its source. Every draw comes
-from a fixed seed and hashes of records, so reruns agree.
+The tables of blocks and sources have a bounded size, whatever the input: more than MOST_SOURCES sources are an error; the
+driver holds the tables, and records are only ever joined with them on the map side. Which records are taken is found
+without shuffling one, whatever the size of its source. Every draw comes from a fixed seed and hashes of records, so
+reruns agree.
 
 Defined results: a null text has the size 0; null sources are one source, the last; a source without words has the
 target 0 and gives nothing; repeated rows with the same id, source and text are taken alike; an empty table gives an
@@ -38,7 +40,13 @@ MOST = 3
 BLOCKS = 4096
 BLOCK_RECORDS = 64
 CLOSERS = 32
+#: Records, about, of the last block that are put in order to find the last ones taken.
+LAST_RECORDS = 4096
+#: Sources, at most; their table is held by the driver.
+MOST_SOURCES = 100_000
 SHARDS = 16
+#: Bytes of a partition of shuffled(), before it is compressed.
+PART_BYTES = 128_000_000
 SEED = 17
 
 
@@ -93,7 +101,9 @@ def deal(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
     that the mix takes the record."""
     size, key = word_count(F.col(text_col)), _key(id_col, text_col)
     rows = staged(df.select(F.col(source_col).alias("source"), size.alias("size"), key.alias("key")), "mixing")
-    stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
+    stats = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(stats) > MOST_SOURCES:
+        raise ValueError(f"a mix of more than {MOST_SOURCES} sources")
     if not stats:
         empty = {"size": F.lit(0).cast("long"), "source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "copies": F.array().cast("array<struct<epoch:int,shard:int>>")}
         return df.withColumns({P + k: v for k, v in empty.items()})
@@ -111,10 +121,12 @@ def deal(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
         x = x.join(of, F.col(source).eqNullSafe(F.col(P + "s")), "left")
         return x.withColumn(P + "key", key).withColumn(P + "block", F.pmod(P + "key", P + "blocks").cast("int")).drop(P + "s", P + "blocks")
 
-    cut = placed(rows, "source", F.col("key")).groupBy("source", P + "block").agg(F.sum("size").alias("words")).collect()
+    cut = placed(rows, "source", F.col("key")).groupBy("source", P + "block").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     held: dict = defaultdict(dict)
+    many = {}
     for r in cut:
         held[r["source"]][r[P + "block"]] = r["words"]
+        many[r["source"], r[P + "block"]] = r["n"]
     # units: the blocks that each source gives, in order; the last of a partial epoch may be cut
     units, cuts = {}, {}
     for k, s in enumerate(sources):
@@ -141,7 +153,7 @@ def deal(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
             for b, e in units[s][at : at + int(counts[shard, k])]:
                 shard_of[s, b].append((e, shard))
             at += int(counts[shard, k])
-    last = _last_records(placed(rows, "source", F.col("key")), cuts)
+    last = _last_records(placed(rows, "source", F.col("key")), cuts, many)
     table = [
         (s, b, [(e, shard, s in cuts and cuts[s][:2] == (b, e), *last.get(s, (None, None))) for e, shard in sorted(takes)])
         for (s, b), takes in shard_of.items()
@@ -159,19 +171,28 @@ def deal(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[P + c for c in ("size", "source_size", "target", "copies")])
 
 
-def _last_records(rows: DataFrame, cuts: dict) -> dict:
-    """Of each source's cut block: the hash below which records are taken, and those of a few more. Of the records around
-    the place where the sum passes the rest, CLOSERS on either side, the subset that comes closest is found."""
+def _last_records(rows: DataFrame, cuts: dict, many: dict) -> dict:
+    """Of each source's cut block: the hash below which records are taken, and those of a few more. A block of many records
+    is summed up by the leading bits of their hashes, and only the range in which the sum passes the rest, LAST_RECORDS
+    about, is put in order. Of the records around that place, CLOSERS on either side, the subset that comes closest is
+    found."""
     if not cuts:
         return {}
-    wanted = _local(rows, [(s, b, float(rest)) for s, (b, _, rest) in cuts.items()], "s string, b int, rest double")
+    bits = {s: max(0, (many[s, b] // LAST_RECORDS).bit_length()) for s, (b, _, _) in cuts.items()}
+    wanted = _local(rows, [(s, b, float(rest), 64 - bits[s]) for s, (b, _, rest) in cuts.items()], "s string, b int, rest double, shift int")
     inside = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("s")) & (F.col(P + "block") == F.col("b")))
+    range_ = F.when(F.col("shift") < 64, F.expr(f"shiftright(`{P}key`, shift)")).otherwise(F.lit(0).cast("long"))
     # records of equal hash are repeated rows and are taken together
-    inside = inside.groupBy("source", "rest", F.col(P + "key").alias("key")).agg(F.sum("size").alias("size"))
+    inside = inside.groupBy("source", "rest", range_.alias("range"), F.col(P + "key").alias("key")).agg(F.sum("size").alias("size"))
+    inside = staged(inside, "cut")
+    sums = inside.groupBy("source", "rest", "range").agg(F.sum("size").alias("words"))
+    sums = sums.withColumn("sum", F.expr("sum(words) OVER (PARTITION BY source ORDER BY range)"))
+    at = F.coalesce(F.min(F.when(F.col("sum") > F.col("rest"), F.struct("range", (F.col("sum") - F.col("words")).alias("before")))), F.max(F.struct("range", (F.col("sum") - F.col("words")).alias("before"))))
+    at = sums.groupBy(F.col("source").alias("name")).agg(at.alias("at")).select("name", F.col("at.range").alias("last"), "at.before")
+    near = inside.join(at, F.col("source").eqNullSafe(F.col("name")) & (F.col("range") == F.col("last")))
     over = "OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    inside = staged(inside.withColumns({"sum": F.expr(f"sum(size) {over}"), "r": F.expr(f"row_number() {over}")}), "cut")
-    passed = inside.groupBy("source").agg(F.count_if(F.col("sum") <= F.col("rest")).alias("m")).withColumnRenamed("source", "name")
-    near = inside.join(F.broadcast(passed), F.col("source").eqNullSafe(F.col("name")))
+    near = near.withColumns({"sum": F.expr(f"before + sum(size) {over}"), "r": F.expr(f"row_number() {over}")})
+    near = near.withColumn("m", F.expr("count_if(sum <= rest) OVER (PARTITION BY source)"))
     near = near.where((F.col("r") > F.col("m") - CLOSERS) & (F.col("r") <= F.col("m") + CLOSERS))
     found: dict = defaultdict(list)
     for r in sorted(near.collect(), key=lambda r: r["r"]):
@@ -195,6 +216,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     return one.withColumns({P + "shard": F.col(P + "copy.shard"), P + "order": order}).drop(P + "copy")
 
 
-def shuffled(mixed: DataFrame, partitions: int) -> DataFrame:
-    """The mix in its shards, each in its own random order, over range partitions of nearly equal size."""
-    return mixed.repartitionByRange(partitions, P + "shard", P + "order").sortWithinPartitions(P + "shard", P + "order")
+def shuffled(mixed: DataFrame, shards: int = SHARDS, slices: int | None = None) -> DataFrame:
+    """The mix in its shards, each in its own random order. Orders are hashes, so equal slices of their range hold nearly
+    equal numbers of records: each slice of a shard is a partition, and no sample has to be drawn for that. By default
+    there are as many as the planner's estimate of the size asks for."""
+    if slices is None:
+        size = int(str(mixed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        slices = max(1, min(10_000, -(-size // (shards * PART_BYTES))))
+    # the highest 31 bits of the order, in the order of signed numbers, times the slices
+    high = F.shiftright(P + "order", 33).cast("long") + F.lit(2**30)
+    part = F.col(P + "shard") * slices + F.shiftright(high * slices, 31).cast("int")
+    return mixed.repartitionById(shards * slices, part).sortWithinPartitions(P + "shard", P + "order")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import mixing
 from quillon.llm.queries import QUERIES
@@ -77,4 +78,43 @@ def test_mix_gives_the_rows_and_keeps_columns(spark, odd_docs):
     assert rows.columns == [*odd_docs.columns, mixing.P + "shard", mixing.P + "order"]
     assert rows.count() == sum(len(r[mixing.P + "copies"]) for r in dealt)
     assert {r[0] for r in rows.select(mixing.P + "shard").distinct().collect()} <= set(range(mixing.SHARDS))
-    assert mixing.shuffled(rows, 3).count() == rows.count()
+    assert mixing.shuffled(rows, slices=3).count() == rows.count()
+
+
+def test_shuffled_interleaves_the_sources_as_drawn(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'w ' * 5}{i}", "abcd"[i * 4 // 8000]) for i in range(8000)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, shards=4)
+    parts = mixing.shuffled(mixed, 4, 2).select(F.spark_partition_id().alias("part"), mixing.P + "shard", mixing.P + "order", "source").collect()
+    assert sorted(str(tuple(r[1:])) for r in parts) == sorted(str(tuple(r)) for r in mixed.select(mixing.P + "shard", mixing.P + "order", "source").collect())
+    groups = {}
+    for r in parts:
+        groups.setdefault(r["part"], []).append(r)
+    assert len(groups) == 8 and max(map(len, groups.values())) < 1.3 * min(map(len, groups.values()))
+    for rows in groups.values():
+        assert len({r[1] for r in rows}) == 1 and [r[2] for r in rows] == sorted(r[2] for r in rows)
+        share = [sum(r["source"] == s for r in rows) / len(rows) for s in "abcd"]
+        same = sum(x["source"] == y["source"] for x, y in zip(rows, rows[1:])) / (len(rows) - 1)
+        assert same < sum(x * x for x in share) + 0.1 and min(share) > 0
+    # in range order over the partitions of a shard
+    for a in range(0, 8, 2):
+        assert groups[a][-1][2] <= groups[a + 1][0][2]
+
+
+def test_a_large_last_block_is_cut_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 2)
+    monkeypatch.setattr(mixing, "LAST_RECORDS", 64)
+    rng = random.Random(4)
+    rows = [(i, "w " * rng.randrange(1, 40), None if i % 7 == 0 else "ab"[i % 2]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got, want = {}, {}
+    for r in mixing.deal(docs).collect():
+        got[r["source"]] = got.get(r["source"], 0) + r[mixing.P + "size"] * len(r[mixing.P + "copies"])
+        want[r["source"]] = r[mixing.P + "target"]
+    assert all(abs(got[s] - want[s]) <= 2 for s in want)
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 5)
+    docs = spark.createDataFrame([(i, "a b", f"s{i}") for i in range(9)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="sources"):
+        mixing.deal(docs)
