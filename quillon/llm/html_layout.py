@@ -8,7 +8,9 @@ list item at its sibling, a cell, row or row group at the next of its kind, an o
 its element unless a table cell or the like stands between; others are ignored. Elements nested deeper than MAX_DEPTH
 become siblings, so their text is kept.
 
-Visibility: head matter, scripts, styles, templates, noscript, media fallbacks and data lists are not shown, nor elements
+Visibility: rules of the page's own style sheets count as far as their selectors name an element, its classes and id,
+without combinators, outside at-rules but those for screens, the most specific and then the last rule winning, an inline
+style over all. Head matter, scripts, styles, templates, noscript, media fallbacks and data lists are not shown, nor elements
 that are `hidden`, `display: none`, a closed dialog, or a hidden input; `visibility: hidden` hides text until a descendant
 says `visible`. Closed details are shown, since their text is the page's. Of drawings (svg) the text labels and foreign
 objects are shown, of formulas (MathML) all but annotations and phantoms.
@@ -16,9 +18,13 @@ objects are shown, of formulas (MathML) all but annotations and phantoms.
 Layout: white space collapses except in `pre`, `textarea`, `listing`; paragraphs, headings, lists, tables and the like are
 set off by a blank line, other blocks by a line break; nested lists are indented; ordered lists count from `start`, with
 `value` and `reversed`; a table's cells line up in columns, spans counted, cells of more than CELL_PAD characters not
-padded after. A cell is one line: blocks, lists and tables in it lose their line breaks, but no text.
+padded after. Blocks, lists and tables in a cell keep their lines: those of cells side by side stand side by side. A table
+is one for layout, whose cells follow one another as blocks, if a cell has a blank line or several lines of which one is
+longer than CELL_PAD.
 
-Defined results: null gives an empty text; so does a page without visible text. Any malformed input gives a text.
+Defined results: null gives an empty text; so does a page without visible text. Any malformed input gives a text. Repeated
+rows are rendered one by one; an empty table gives an empty one. Other columns stay as they are, but for a column of the
+output's name, which the text replaces.
 """
 
 from __future__ import annotations
@@ -31,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, spread
 
 MAX_DEPTH = 250
 CELL_PAD = 40
@@ -77,17 +83,19 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?", re.S)
 SPACES = re.compile(r"[ \t\n\f\r]+")
-NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-SEEN = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
+RULE = re.compile(r"[{}]|[^{}]+")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+SCREENS = ("", "all", "screen", "only screen")
+DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)", re.I)
 
 
 class Node:
-    """An element; kids are nodes and strings."""
+    """An element; kids are nodes and strings. A root has the page's style sheets as well."""
 
-    __slots__ = ("tag", "raw", "kids")
+    __slots__ = ("tag", "raw", "kids", "sheets")
 
     def __init__(self, tag: str, raw: str = "") -> None:
-        self.tag, self.raw, self.kids = tag, raw, []
+        self.tag, self.raw, self.kids, self.sheets = tag, raw, [], None
 
     def attrs(self) -> dict[str, str]:
         out: dict[str, str] = {}
@@ -100,6 +108,7 @@ class Node:
 def parse(html: str) -> Node:
     """The tree of a page; its root has the whole page below it."""
     root = Node("#root")
+    root.sheets = []
     stack = [root]
 
     def text(s: str) -> None:
@@ -145,6 +154,8 @@ def parse(html: str) -> Node:
             stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
             body = html[at : stop.start() if stop else end]
             node.kids.append(unescape(body) if tag in ESCAPABLE else body)
+            if tag == "style" and node.attrs().get("media", "").strip().lower() in SCREENS:
+                root.sheets.append(body)
             at = stop.end() if stop else end
         elif tag == "plaintext":
             node.kids.append(html[at:])
@@ -181,10 +192,63 @@ def _close(stack: list[Node], tag: str) -> None:
         stack[-1].kids.append(Node("p"))
 
 
-def shown(node: Node, seen: bool) -> tuple[bool, bool]:
+class Sheet:
+    """The rules of a page's style sheets that say what is displayed or visible, by the rarest part of their selectors."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.rules: dict[str, list[tuple]] = {}
+        for css in sheets:
+            if "display" in css.lower() or "visibility" in css.lower():
+                self._read(re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S))
+
+    def _read(self, css: str) -> None:
+        heads: list[str] = []
+        head = ""
+        for m in RULE.finditer(css):
+            if m[0] == "{":
+                heads.append(head.strip())
+                head = ""
+            elif m[0] == "}":
+                heads and heads.pop()
+                head = ""
+            else:
+                head = m[0].rpartition(";")[2]
+                *around, selector = heads or [""]
+                if selector and not selector.startswith("@") and all(re.sub(r"\s+", " ", h[6:].strip().lower()) in SCREENS[1:] and h.lower().startswith("@media") for h in around):
+                    said = {k.lower(): v.lower() for k, v in DECLARED.findall(m[0])}
+                    for one in selector.split(",") if said else ():
+                        self._add(one.strip(), said)
+
+    def _add(self, selector: str, said: dict[str, str]) -> None:
+        m = SELECTOR.fullmatch(selector)
+        if not m or not selector:
+            return
+        marks = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+        tag = (m[1] or "*").lower()
+        ids = sum(x[0] == "#" for x in marks)
+        weight = (ids, len(marks) - ids, tag != "*", len(self.rules), sum(map(len, self.rules.values())))
+        key = min(marks, key=lambda x: (x[0] != "#", x)) if marks else tag
+        self.rules.setdefault(key, []).append((weight[:3], weight[4], tag, marks, said))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What the rules say of an element."""
+        marks: set[str] = set()
+        low = node.raw.lower()
+        if "class" in low or "id" in low:
+            a = node.attrs()
+            marks = {f".{x}" for x in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+        found = [r for key in (*marks, node.tag, "*") for r in self.rules.get(key, ()) if r[2] in ("*", node.tag) and r[3] <= marks]
+        out: dict[str, str] = {}
+        for rule in sorted(found, key=lambda r: (r[0], r[1])):
+            out |= rule[4]
+        return out
+
+
+def shown(node: Node, seen: bool, sheet: Sheet | None = None) -> tuple[bool, bool]:
     """Whether an element takes part in the layout, and whether its text is visible."""
     if node.tag in NOT_SHOWN:
         return False, seen
+    said = sheet.of(node) if sheet is not None and sheet.rules else {}
     raw = node.raw
     if raw:
         low = raw.lower()
@@ -192,12 +256,11 @@ def shown(node: Node, seen: bool) -> tuple[bool, bool]:
             a = node.attrs()
             if "hidden" in a or (node.tag == "input" and a.get("type", "").lower() == "hidden"):
                 return False, seen
-            style = a.get("style", "")
-            if style:
-                if NONE.search(style):
-                    return False, seen
-                for v in SEEN.findall(style):
-                    seen = v.lower() == "visible"
+            said = said | {k.lower(): v.lower() for k, v in DECLARED.findall(a.get("style", ""))}
+    if said.get("display") == "none":
+        return False, seen
+    if said.get("visibility") in ("hidden", "collapse", "visible"):
+        seen = said["visibility"] == "visible"
     if node.tag == "dialog" and "open" not in node.attrs():
         return False, seen
     return True, seen
@@ -206,7 +269,8 @@ def shown(node: Node, seen: bool) -> tuple[bool, bool]:
 class Page:
     """Lines in the making."""
 
-    def __init__(self) -> None:
+    def __init__(self, sheet: Sheet | None = None) -> None:
+        self.sheet = sheet
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = 0
@@ -276,7 +340,7 @@ def _children(node: Node, page: Page, seen: bool, keep: bool) -> None:
 
 
 def _render(node: Node, page: Page, seen: bool, keep: bool) -> None:
-    ok, seen = shown(node, seen)
+    ok, seen = shown(node, seen, page.sheet)
     if not ok:
         return
     tag = node.tag
@@ -319,7 +383,7 @@ def _drawing(node: Node, page: Page, seen: bool) -> None:
     for kid in node.kids:
         if isinstance(kid, str) or kid.tag in DRAWN_UNSEEN:
             continue
-        ok, inside = shown(kid, seen)
+        ok, inside = shown(kid, seen, page.sheet)
         if not ok or ("display" in kid.raw and kid.attrs().get("display") == "none"):
             continue
         if kid.tag in ("text", "foreignobject"):
@@ -336,7 +400,7 @@ def _formula(node: Node, page: Page, seen: bool) -> None:
             if seen:
                 page.text(kid)
         elif kid.tag.startswith("m") and kid.tag not in MATH_UNSEEN or kid.tag == "semantics":
-            ok, inside = shown(kid, seen)
+            ok, inside = shown(kid, seen, page.sheet)
             if ok:
                 _formula(kid, page, inside)
         elif kid.tag not in MATH_UNSEEN:
@@ -361,7 +425,7 @@ def _list(node: Node, page: Page, seen: bool) -> None:
             page.indent = outer + "  "
             _render(kid, page, seen, False)
             continue
-        ok, inside = shown(kid, seen)
+        ok, inside = shown(kid, seen, page.sheet)
         if not ok:
             continue
         page.block(1)
@@ -383,22 +447,23 @@ def _list(node: Node, page: Page, seen: bool) -> None:
 
 
 def _table(node: Node, page: Page, seen: bool) -> None:
-    """Rows of cells; a cell's text is one line. What stands in a table outside its rows is set before it."""
-    rows: list[list[tuple[int, int, str]]] = []
+    """Rows of cells, each with its lines. What stands in a table outside its rows is set before it."""
+    rows: list[list[tuple[int, int, list[str]]]] = []
 
-    def cell(n: Node, seen: bool) -> str:
-        inner = Page()
+    def cell(n: Node, seen: bool) -> list[str]:
+        inner = Page(page.sheet)
         _children(n, inner, seen, False)
-        return " ".join(x.strip() for x in inner.done().split("\n") if x.strip())
+        lines = inner.done().split("\n")
+        return [lines[0].strip()] if len(lines) == 1 else lines
 
     def walk(n: Node, seen: bool) -> None:
-        row: list[tuple[int, int, str]] | None = None
+        row: list[tuple[int, int, list[str]]] | None = None
         for kid in n.kids:
             if isinstance(kid, str):
                 if seen and not kid.isspace():
                     page.text(kid)
                 continue
-            ok, inside = shown(kid, seen)
+            ok, inside = shown(kid, seen, page.sheet)
             if not ok:
                 continue
             if kid.tag in ("thead", "tbody", "tfoot", "tr"):
@@ -421,18 +486,21 @@ def _table(node: Node, page: Page, seen: bool) -> None:
 
     walk(node, seen)
     page.flush()
-    grid: list[dict[int, str]] = []
+    if any(len(x) > 1 and ("" in x or max(map(len, x)) > CELL_PAD) for row in rows for _, _, x in row):
+        _stack([x for row in rows for _, _, x in row], page)
+        return
+    grid: list[dict[int, list[str]]] = []
     taken: dict[int, int] = {}
     width: dict[int, int] = {}
     for row in rows:
-        line: dict[int, str] = {}
+        line: dict[int, list[str]] = {}
         now, taken, c = taken, {k: n - 1 for k, n in taken.items() if n > 1}, 0
-        for wide, high, s in row:
+        for wide, high, x in row:
             while now.get(c, 0) > 0:
                 c += 1
-            line[c] = s
-            if wide == 1 and len(s) <= CELL_PAD:
-                width[c] = max(width.get(c, 0), len(s))
+            line[c] = x
+            if wide == 1:
+                width[c] = max([width.get(c, 0), *(len(y) for y in x if len(y) <= CELL_PAD)])
             for k in range(c, c + wide):
                 if high > 1:
                     taken[k] = high - 1
@@ -443,31 +511,48 @@ def _table(node: Node, page: Page, seen: bool) -> None:
         place[c] = at
         at += width.get(c, 0) + 2
     for line in grid:
-        out = ""
-        for c in sorted(line):
-            if line[c]:
-                out = out.ljust(place[c]) if len(out) + 2 <= place[c] or not out else out + "  "
-                out += line[c]
-        if out:
-            page.line.append(out)
-            page.flush()
+        for k in range(max(map(len, line.values()), default=0)):
+            out = ""
+            for c in sorted(line):
+                if k < len(line[c]) and line[c][k]:
+                    out = out.ljust(place[c]) if len(out) + 2 <= place[c] or not out else out + "  "
+                    out += line[c][k]
+            if out:
+                page.line.append(out)
+                page.flush()
+
+
+def _stack(cells: list[list[str]], page: Page) -> None:
+    """The cells of a layout table, one below the other, their blank lines kept."""
+    for lines in cells:
+        gap = 2 if "" in lines else 1
+        page.block(gap)
+        for x in lines:
+            if x:
+                page.line.append(x)
+                page.flush()
+            else:
+                page.block(2)
+        page.block(gap)
 
 
 def render(html: str | None) -> str:
     """All visible text of a page, laid out."""
     if not html:
         return ""
-    page = Page()
-    _children(parse(html.replace("\x00", "")), page, True, False)
+    root = parse(html.replace("\x00", ""))
+    page = Page(Sheet(root.sheets) if root.sheets else None)
+    _children(root, page, True, False)
     return page.done().replace("\xa0", " ")
 
 
 def extract(df: DataFrame, html_col: str, out_col: str) -> DataFrame:
-    """df with the rendered text of a column. Rows stay where they are; nothing is shuffled."""
+    """df with the rendered text of a column, which replaces a column of that name. Rows stay where they are, but those of
+    tables so small that most cores would be idle."""
 
     def answer(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in batches:
             yield series.map(lambda h: render(h if isinstance(h, str) else None))
 
     bound_batches(df.sparkSession)
-    return df.withColumn(out_col, F.pandas_udf(answer, "string")(F.col(html_col)))
+    return spread(df).withColumn(out_col, F.pandas_udf(answer, "string")(F.col(html_col)))
