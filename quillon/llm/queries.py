@@ -64,7 +64,7 @@ def op10_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id",
         *[F.col(p + c).alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")],
-        F.col(p + "failed_rule").isNull().alias("kept"),
+        F.col(p + "kept").alias("kept"),
     )
 
 
@@ -191,7 +191,7 @@ def op7_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     payload = F.coalesce(F.encode("html", "UTF-8"), F.to_binary(F.lit(""), F.lit("hex")))
-    found = warc.read_packages(spark, *warc.write_packages(pages, "page_id", payload))
+    found = warc.read_packages(spark, *warc.write_packages(pages, "page_id", payload, F.col("url")), pages.schema["page_id"].dataType.simpleString())
     return found.select(
         "page_id",
         F.col("bytes").alias("payload_bytes"),

@@ -1,7 +1,7 @@
 """WARC records in ZIP packages: a writer, and a reader that takes records by ranges without extraction.
 
 A package is a ZIP archive with two stored members: `archive/data.warc.gz`, one gzip member per record, and
-`indexes/index.cdxj`, a line for each record with its key, kind, digest, offset and length. Because members are stored,
+`indexes/index.cdxj`, a line for each record with its key, kind, digest, offset and length, sorted by key. Because members are stored,
 a record's place in the package is the member's data offset plus the record's offset, and one range read fetches it.
 
 The reader parses the end-of-directory record, its ZIP64 locator and directory when sizes or counts need them, the central
@@ -14,11 +14,13 @@ import base64
 import gzip
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote
 
 # fixed values of the ZIP format
 END, END64, LOCATOR64 = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -135,11 +137,26 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def make_record(kind: str, name: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
-    """One gzip member: a WARC 1.1 record whose block is the payload. Line ends in header values become spaces."""
-    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1980-01-01T00:00:00Z"), *headers, ("Content-Length", str(len(payload)))]
+def index_key(url: str) -> str:
+    """A sort key that puts pages of a host and its subdomains together: the host's labels from last to first, without a
+    leading www, then the path and query; scheme, user and standard ports left out. Others are their own key."""
+    scheme, mark, rest = url.partition("://")
+    if not mark:
+        return quote(url, safe="/:;,=+()!*~@$'-._?&%")
+    host, cut, path = re.match(r"([^/?#]*)(/?)([^#]*)", rest, re.S).groups()
+    host = host.rpartition("@")[2].lower()
+    name, _, port = host.partition(":")
+    labels = name.removeprefix("www.").split(".")[::-1]
+    shown = "" if port in ("", "80", "443") else f":{port}"
+    return quote(f"{','.join(labels)}{shown}){cut or '/'}{path}".lower(), safe="/:;,=+()!*~@$'-._?&%")
+
+
+def make_record(kind: str, name: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+    """One gzip member: a WARC 1.1 record. White space in header values becomes single spaces."""
+    lines = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", "1980-01-01T00:00:00Z"), *headers]
+    lines += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("Content-Length", str(len(block)))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines) + "\r\n"
-    return gzip.compress(head.encode() + payload + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -184,16 +201,16 @@ class PackageWriter:
         self._put(b"PK\x07\x08" + struct.pack("<IQQ", self.crc, self.size, self.size))
         self.entries.append((self.name, self.crc, self.size, self.header))
 
-    def add(self, kind: str, name: str, headers: list[tuple[str, str]], payload: bytes, facts: dict) -> None:
-        offset, data = self.size, make_record(kind, name, headers, payload)
+    def add(self, kind: str, name: str, headers: list[tuple[str, str]], block: bytes, facts: dict, key: str) -> None:
+        offset, data = self.size, make_record(kind, name, headers, block)
         self._data(data)
-        line = {"offset": offset, "length": len(data), "type": kind, **facts}
-        self.lines.append(f"{name} 19800101000000 {json.dumps(line)}\n".encode())
+        line = {"offset": offset, "length": len(data), "type": kind, "record": name, **facts}
+        self.lines.append((key, f"{key} 19800101000000 {json.dumps(line)}\n".encode()))
 
     def close(self) -> None:
         self._close()
         self._open(INDEX)
-        for line in self.lines:
+        for _, line in sorted(self.lines):
             self._data(line)
         self._close()
         start = self.at
