@@ -12,8 +12,11 @@
 4. Lists that still mix components are walked again: the members that agree in matches(percent) coordinates with one of
    another component get their full sets, and are compared exactly with all of these; again a list yields a forest of confirmed
    links. Pairs inside a component need no look, so no group is multiplied out, and no pair between components is left
-   out. Lists that are long, or heavy, are cut into blocks, and each pair of blocks is walked as a list of its own, so
-   that no task holds more than two blocks.
+   out.
+5. Lists that are long, or heavy, are cut into blocks. In step 3 each block is walked by itself; then the components that
+   a list holds meet again by one member each, so that a large group becomes one component. In step 4 only the members
+   outside a list's largest component, the few, go to every block, and blocks of these few against blocks of all, so that
+   no task holds more than two blocks and a list of one group is never multiplied.
 
 matches(percent) follows from the wanted similarity, so that a pair exactly there agrees in fewer coordinates with a
 probability of at most MISS = 5 in 100,000, and the more similar, the less: 42 of 64 at 85 percent (3.0 in 100,000), 38
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import bound_batches, staged
+from .common import bound_batches, spread, staged
 from .components import connected
 from .shingles import COORDINATES, WordHashes, class_key, intersection, shingle_set, signature
 
@@ -163,8 +166,8 @@ def _forest(percent: int):
 
 
 def _live(percent: int):
-    """Lists of (key, i, j, nid, n, sig, component) to (key, i, j, nid): the members that agree in matches(percent)
-    coordinates with a member of another component."""
+    """Lists of (key, i, j, nid, n, sig, component, few) to (key, i, j, nid): the members that agree in matches(percent)
+    coordinates with a member of another component. Where `few` is not null, the few are compared with the others."""
     enough = matches(percent)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +178,10 @@ def _live(percent: int):
                 continue
             n, sig = t.column("n").to_numpy(), _rows(t.column("sig").combine_chunks())
             live = np.zeros(len(of), bool)
-            for u in np.flatnonzero(which != counts.argmax()).tolist():
-                near = (of != of[u]) & _fits(n[u], n, percent)
+            few = t.column("few").to_numpy(zero_copy_only=False) if t.column("few").null_count == 0 else None
+            asked, others = (which != counts.argmax(), np.ones(len(of), bool)) if few is None else (few.astype(bool), ~few.astype(bool))
+            for u in np.flatnonzero(asked).tolist():
+                near = others & (of != of[u]) & _fits(n[u], n, percent)
                 near[near] = (sig[near] == sig[u]).sum(axis=1) >= enough
                 if near.any():
                     live |= near
@@ -259,7 +264,7 @@ class _Finder:
         bound_batches(docs.sparkSession)
         self.docs, self.percent = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), percent
         kind = self.docs.schema["id"].dataType.simpleString()
-        self.rows = staged(self.docs.mapInArrow(_sign, f"id {kind}, n bigint, cls binary, sig array<int>"), "signed")
+        self.rows = staged(spread(self.docs).mapInArrow(_sign, f"id {kind}, n bigint, cls binary, sig array<int>"), "signed")
         self.classes = staged(
             self.rows.where("n > 0")
             .groupBy("cls")
@@ -267,11 +272,13 @@ class _Finder:
             .withColumn("nid", F.monotonically_increasing_id()),
             "classes",
         )
+        self.lists: DataFrame | None = None
         self.sets: DataFrame | None = None
         self.links: DataFrame | None = None
 
     def postings(self) -> DataFrame:
-        """(key, i, j, nid, n, sig): the prefix of each class, in lists of two or more, long ones as pairs of blocks."""
+        """(key, nid, n, sig, blocks, own): the prefix of each class, in lists of two or more; a list's number of blocks, and
+        the block that a member belongs to."""
         keys = self.classes.select("nid", F.posexplode("sig").alias("k", "v")).select(
             "nid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v").cast("long") + 2147483648).alias("key")
         )
@@ -283,14 +290,36 @@ class _Finder:
         posted = staged(
             posted.select("nid", F.col("x.key").alias("key")).join(self.classes.select("nid", "n", "sig"), "nid"), "postings"
         )
-        blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-        sizes = posted.groupBy("key").agg(F.count("*").alias("c"), blocks.alias("blocks")).where("c > 1")
-        own = F.pmod(F.xxhash64("nid", F.lit("block")), F.col("blocks")).cast("int")
-        pairs = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))
-        )
-        posted = posted.join(sizes.drop("c"), "key").withColumn("own", own)
-        return posted.select("key", "nid", "n", "sig", F.explode(pairs).alias("p")).select("key", "p.i", "p.j", "nid", "n", "sig")
+        self.lists = staged(posted.groupBy("key").agg(F.count("*").alias("c"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).where("c > 1"), "lists")
+        return posted.join(self.lists.drop("c"), "key").withColumn("own", _dealt("nid", "blocks"))
+
+    def meet(self, posted: DataFrame, of: DataFrame) -> DataFrame:
+        """(key, i, j, nid, n, sig): one member of each component that a long list holds, cut into blocks again."""
+        long = posted.where("blocks > 1").join(of, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        some = long.groupBy("key", "component").agg(F.min_by(F.struct("nid", "n", "sig"), "nid").alias("x")).select("key", "x.*")
+        sizes = some.groupBy("key").agg(F.count("*").alias("c"), _blocks(F.count("*"), F.sum("n")).alias("blocks")).where("c > 1")
+        own = _dealt("nid", "blocks")
+        return some.join(sizes, "key").select("key", own.alias("i"), own.alias("j"), "nid", "n", "sig")
+
+    def mixed(self, posted: DataFrame, of: DataFrame) -> DataFrame:
+        """(key, i, j, nid, n, sig, component, few): the lists that may hold pairs of two components. Short ones are whole.
+        Of long ones, the few that are not in the largest component are dealt into blocks i and go to every block j; all
+        members go to their own block j, once for each i."""
+        posted = posted.join(of, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
+        none = F.lit(None).cast("boolean").alias("few")
+        columns = ["nid", "n", "sig", "component"]
+        short = posted.where("blocks = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns, none)
+        long = posted.where("blocks > 1")
+        parts = long.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        main = F.max_by("component", F.struct("c", "component"))
+        most = F.max(F.struct("c", "component", "s"))
+        main = parts.groupBy("key").agg(main.alias("main"), (F.sum("c") - most.c).alias("others"), (F.sum("s") - most.s).alias("sizes"))
+        main = main.where("others > 0").select("key", "main", _blocks(F.col("others"), F.col("sizes")).alias("of_few"))
+        long = long.join(main, "key")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        few = long.where("component <> main").select("key", _dealt("nid", "of_few").alias("i"), each("blocks").alias("j"), *columns, F.lit(True).alias("few"))
+        rest = long.select("key", each("of_few").alias("i"), F.col("own").alias("j"), *columns, F.lit(False).alias("few"))
+        return short.unionByName(few).unionByName(rest)
 
     def by_list(self, rows: DataFrame) -> DataFrame:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -326,16 +355,26 @@ class _Finder:
         )
         self.add(both.select("a", "b", "ha", "hb").mapInArrow(_similar(self.percent), "a bigint, b bigint"))
 
+    def components(self) -> DataFrame:
+        return staged(connected(self.links, "a", "b").withColumnRenamed("node", "nid"), "components")
+
+    def link(self, lists: DataFrame) -> bool:
+        """Adds the links of the forests of these lists; whether there was anything to confirm."""
+        near = self.by_list(lists).mapInArrow(_forest(self.percent), "a bigint, b bigint").distinct()
+        near = staged(near if self.links is None else near.join(self.links, ["a", "b"], "left_anti"), "near")
+        if near.isEmpty():
+            return False
+        self.confirm(near)
+        return True
+
     def run(self) -> None:
         posted = self.postings()
-        near = self.by_list(posted).mapInArrow(_forest(self.percent), "a bigint, b bigint")
-        near = staged(near.distinct(), "near")
-        if near.isEmpty():
+        if not self.link(posted.select("key", F.col("own").alias("i"), F.col("own").alias("j"), "nid", "n", "sig")):
             return
-        self.confirm(near)
-        of = staged(connected(self.links, "a", "b").withColumnRenamed("node", "nid"), "components")
-        mixed = posted.join(of, "nid", "left").withColumn("component", F.coalesce("component", "nid"))
-        live = self.by_list(mixed).mapInArrow(_live(self.percent), "key bigint, i int, j int, nid bigint")
+        of = self.components()
+        if not self.lists.where("blocks > 1").isEmpty() and self.link(self.meet(posted, of)):
+            of = self.components()
+        live = self.by_list(self.mixed(posted, of)).mapInArrow(_live(self.percent), "key bigint, i int, j int, nid bigint")
         live = staged(live, "live")
         if live.isEmpty():
             return
@@ -344,6 +383,15 @@ class _Finder:
         self.add(self.by_list(whole).mapInArrow(_exact(self.percent), "a bigint, b bigint"))
 
 
+def _blocks(members: Column, shingles: Column) -> Column:
+    """Into how many blocks a list of so many members and shingles is cut."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+
+def _dealt(nid: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(nid, F.lit("block")), F.col(blocks)).cast("int")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, n, component) of every row: its id, the size of its shingle set and the least id of its component."""
     run = _Finder(docs, id_col, text_col, percent)
@@ -356,8 +404,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = named.select("cls", F.coalesce("least", "mid").alias("component"))
     else:
         named = named.select("cls", F.col("mid").alias("component"))
-    out = run.rows.select("id", "n", "cls").join(named, "cls", "left")
-    return out.select("id", "n", F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    out = run.rows.where("cls IS NOT NULL").select("id", "n", "cls").join(named, "cls").select("id", "n", "component")
+    # rows with the empty set, however many, don't meet in a join
+    return out.unionByName(run.rows.where("cls IS NULL").select("id", "n", F.col("id").alias("component")))
 
 
 def _class_keys(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -381,9 +430,10 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = nodes.groupBy("component").agg(F.min(F.struct(F.col("mid").isNull().alias("unnamed"), "mid", "cls")).alias("x"))
     first = staged(first.select("x.mid", "x.cls"), "first")
     # whether a row's id and class are those that stay
-    rows = run.rows.select("id", "cls").join(first.withColumn("best", F.lit(True)), "cls", "left")
-    stays = F.col("cls").isNull() | (F.col("best") & F.col("id").eqNullSafe(F.col("mid")))
-    ids = rows.select("id", F.coalesce(stays, F.lit(False)).alias("stays")).groupBy("id").agg(F.count("*").alias("c"), F.max("stays").alias("stays"))
+    rows = run.rows.where("cls IS NOT NULL").select("id", "cls").join(first.withColumn("best", F.lit(True)), "cls", "left")
+    stays = F.coalesce(F.col("best") & F.col("id").eqNullSafe(F.col("mid")), F.lit(False))
+    rows = rows.select("id", stays.alias("stays")).unionByName(run.rows.where("cls IS NULL").select("id", F.lit(True).alias("stays")))
+    ids = rows.groupBy("id").agg(F.count("*").alias("c"), F.max("stays").alias("stays"))
     # ids that don't stay go as a whole, those of several rows are looked at by class, and all others stay
     asked = ids.where("id IS NOT NULL AND (NOT stays OR c > 1)").select(F.col("id").alias(P + "asked"), "stays")
     columns = [F.col(f"`{c}`") for c in docs.columns]
