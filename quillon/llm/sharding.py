@@ -27,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Fine ranges of a shard, and sampled keys of a fine range.
+#: Fine ranges of a shard, at least, and sampled keys of a fine range.
 RANGES_PER_SHARD = 64
 KEYS_PER_RANGE = 16
+#: Rows of a fine range, about, since a task numbers one; and most ranges, whose table is held by the driver.
+RANGE_ROWS = 1_000_000
+MOST_RANGES = 65_536
 
 
 def search(bounds: list[int], key: Column) -> Column:
@@ -74,7 +77,7 @@ def by_bytes(df: DataFrame, size: Column, key: Column, tie: Column, shards: int,
     rows = df.select(*carry, size.cast("long").alias("__size"), key.cast("long").alias("__key"), tie.cast("long").alias("__tie"))
     rows = staged(rows, "sharding")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("__size"), F.lit(0))).collect()[0]
-    ranges = shards * RANGES_PER_SHARD
+    ranges = max(shards * RANGES_PER_SHARD, min(MOST_RANGES, n // RANGE_ROWS))
     wanted = ranges * KEYS_PER_RANGE
     # a record's chance is its size over total / wanted; one heavier than that is surely in the sample
     chance = F.col("__size") * F.lit(wanted / max(total, 1))
@@ -117,7 +120,7 @@ def by_bytes(df: DataFrame, size: Column, key: Column, tie: Column, shards: int,
         s = shard_of[bundles[unit]]
         placed.append((*unit, s, offset[s]))
         offset[s] += units[unit][1]
-    # at most a few thousand rows whatever the data: the number of ranges is a parameter
+    # as many rows as there are ranges and pieces, a few times MOST_RANGES at most
     where = spark.createDataFrame(placed, "__range int, __piece int, shard int, __offset long")
     place = F.expr("row_number() OVER (PARTITION BY __range, __piece ORDER BY __key, __tie)")
     rows = rows.withColumn("__place", place.cast("long")).join(F.broadcast(where), ["__range", "__piece"])
