@@ -5,10 +5,13 @@ max-pooled over its places and feed a softmax layer; since the input is one-hot,
 response a sum of table rows. A text's answer is the softmax of the mean of its windows' logits, weighted by the bytes
 that they hold.
 
-Training is supervised, on a bounded sample of labelled rows: at most about TRAIN_DOCS documents, drawn by hash, with at
-most WINDOWS_PER_DOC windows each at hashed places of the whole text. Weights start from a fixed seed and windows come in
+Training is supervised, on a bounded sample of labelled rows: about TRAIN_DOCS documents, drawn by hash in proportion to
+their languages but LABEL_DOCS of each language, if it has as many, with at most WINDOWS_PER_DOC windows each at hashed
+places of the whole text. Weights start from a fixed seed and windows come in
 a fixed order, so reruns agree. The loss weighs a language by the root of its share. Prediction reads nothing but the text.
 
+Ties between languages go to the first by name. Repeated rows are predicted one by one and learned from once.
+
 Defined results: `und` with score 0 for a null text, one without any letter, or if nothing labelled was there to learn
 from. Very long texts are read to the end, in bounded batches. An empty table gives an empty result. Columns that
 predict() adds carry a prefix, so input columns of other names survive.
@@ -24,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, spread
 
 P = "__language_"
 WINDOW = 256
@@ -32,6 +35,9 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Bound of the training sample.
 TRAIN_DOCS = 2500
+#: Documents of a language that are learned from at least, and most languages.
+LABEL_DOCS = 40
+MOST_LABELS = 1000
 WINDOWS_PER_DOC = 4
 EPOCHS = 8
 #: Steps that even a small sample is given.
@@ -161,10 +167,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     """A network trained on about `docs` labelled rows outside the held-out fold; None if there are none."""
     text = F.col(text_col)
     usable = df.where(~held_out(id_col) & F.col(label_col).isNotNull() & text.rlike(r"\p{L}"))
-    n = df.where(~held_out(id_col) & F.col(label_col).isNotNull()).count()
-    # rows by the hash of the id: the expected number is the bound
-    share = min(1.0, docs / max(n, 1))
-    drawn = usable.where(F.xxhash64(F.col(id_col), F.lit("train")).bitwiseAND(2**30 - 1) < int(share * 2**30))
+    known = df.where(~held_out(id_col) & F.col(label_col).isNotNull())
+    sizes = {r[0]: r[1] for r in known.groupBy(label_col).count().limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} languages")
+    if not sizes:
+        return None
+    n = sum(sizes.values())
+    # rows by the hash of id and text: the expected number is the bound
+    chance = {k: int(min(1.0, max(docs / n, LABEL_DOCS / m)) * 2**30) for k, m in sizes.items()}
+    drawing = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(chance.items()) for x in kv]), F.col(label_col))
+    drawn = usable.where(F.xxhash64(F.col(id_col), text, F.lit("train")).bitwiseAND(2**30 - 1) < drawing)
     spots = F.transform(
         F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)),
         lambda i: F.substring(
@@ -173,7 +186,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
             F.lit(WINDOW),
         ),
     )
-    rows = drawn.select(F.col(label_col).alias("label"), F.array_distinct(spots).alias("spots")).collect()
+    rows = drawn.select(F.col(label_col).alias("label"), F.array_sort(F.array_distinct(spots)).alias("spots")).distinct().collect()
     pieces = sorted({(r["label"], s) for r in rows for s in r["spots"] if LETTER.search(s)})
     if not pieces:
         return None
@@ -202,5 +215,5 @@ def predict(df: DataFrame, net: ByteCNN | None, text_col: str = "text") -> DataF
     bound_batches(df.sparkSession)
     # so called, it is not run again for each use of its answer
     asked = F.pandas_udf(answer, "lang string, score double").asNondeterministic()
-    out = df.withColumn(P + "answer", asked(F.col(text_col)))
+    out = spread(df).withColumn(P + "answer", asked(F.col(text_col)))
     return out.withColumns({P + "lang": F.col(P + "answer.lang"), P + "score": F.col(P + "answer.score")}).drop(P + "answer")
