@@ -11,11 +11,13 @@ near_duplicates() compares all texts: fingerprints are grouped first, so copies
 length, such that sets of a likeness of at least t meet in the same or in neighbouring partitions; there they are joined
 on the rarest of their signatures, as many as a pair of that likeness can't miss, and compared by pruned Jaccard.
 
-with_next() gives each text its successor by id without one task for all: ids are cut at quantiles, each range is a
-window of its own, and the last text of a range gets the first of the next range.
+with_next() gives each text its successor by id without one task for all: ids are cut at quantiles of a sample, those of
+many rows by the hash of the text as well, each range is a window of its own, and the last text of a range gets the first
+of the next range.
 
 Defined results: a null text is an empty one; an empty text, or one without letters or digits, has the empty fingerprint,
-which is 1 like itself and 0 like others. Ties in the id go by text. The last text's successor is the first, a lone text's
+which is 1 like itself and 0 like others. Ids may be of any type with an order. Ties in the id go by the text's hash, then by
+the text. The last text's successor is the first, a lone text's
 is itself. Rows with a null id come first. Very long texts are taken whole. An empty table gives an empty result. Only
 the named columns are read.
 """
@@ -28,7 +30,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .sharding import search
 
 # fixed values: frequent function words of English, French, German, Spanish and other languages of Europe and its
 # neighbours; words that are common content words of the first four are left out
@@ -59,9 +60,10 @@ ANCHORS = (
 CHAIN = 2
 #: Words of which one at least should start a spot.
 SPARSE = 20
-#: Ids of a range of with_next(), and most ranges.
+#: Rows of a range of with_next(), sampled ones of a range, and most ranges, whose table is held by the driver.
 RANGE_ROWS = 2_000
-MOST_RANGES = 20_000
+KEYS_PER_RANGE = 8
+MOST_RANGES = 100_000
 
 
 def with_signatures(df: DataFrame, text: Column, out: str, chains: bool = False) -> DataFrame:
@@ -112,35 +114,46 @@ def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
 
 
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(range, ghost, id, text): rows in ranges of ids, hash-partitioned by range. A ghost row at the end of each range
+    """(range, ghost, id, h, text): rows in ranges of ids, hash-partitioned by range. A ghost row at the end of each range
     repeats the first text of the next range, or of the first range at the very end."""
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = rows.count()
     ranges = min(MOST_RANGES, max(4 * parts, n // RANGE_ROWS))
-    at = [i / ranges for i in range(1, ranges)]
-    cuts = rows.agg(F.percentile_approx("id", at, 10 * ranges)).collect()[0][0] or []
-    rows = rows.withColumn("range", F.coalesce(search(sorted(set(cuts)), F.col("id")), F.lit(0)))
-    # the first id of each range; null ids come first
-    first = rows.groupBy("range").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("f"))
-    # a few thousand rows at most, as many as there are ranges
-    found = sorted((r["range"], r["id"]) for r in first.select("range", "f.id").collect())
+    share = min(1.0, KEYS_PER_RANGE * ranges / max(n, 1))
+    drawn = rows.where(F.xxhash64("id", "h", F.lit("cut")).bitwiseAND(2**30 - 1) < int(share * 2**30))
+    # rows that repeat an id and a text are one key; nulls come first
+    keys = drawn.select("id", "h").distinct().agg(F.sort_array(F.collect_list(F.struct("id", "h"))).alias("k"))
+    picked = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("k", F.floor(F.size("k").cast("long") * i / ranges).cast("int")))
+    cuts = keys.select(F.array_distinct(F.filter(picked, lambda x: x.isNotNull())).alias("cuts")).scalar()
+    rows = rows.withColumn("cuts", cuts).withColumn("range", place(F.col("cuts"), F.struct("id", "h"), ranges)).drop("cuts")
+    # the first key of each range, as many rows as there are ranges
+    first = rows.groupBy("range").agg(F.min(F.struct("id", "h")).alias("f")).select("range", "f.id", "f.h")
+    found = sorted(first.collect(), key=lambda r: r["range"])
     if not found:
-        return rows.select("range", F.lit(False).alias("ghost"), "id", "text")
-    before = [(found[k - 1][0], r, i) for k, (r, i) in enumerate(found)]
-    borders = F.broadcast(spark.createDataFrame(before, "before int, of int, first long"))
-    ghosts = rows.join(borders, (F.col("range") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")))
+        return rows.select("range", F.lit(False).alias("ghost"), "id", "h", "text")
+    before = [(found[k - 1]["range"], r["range"], r["id"], r["h"]) for k, r in enumerate(found)]
+    borders = F.broadcast(spark.createDataFrame(before, f"before int, of int, first_id {kind}, first_h long"))
+    ghosts = rows.join(borders, (F.col("range") == F.col("of")) & F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")))
     ghosts = ghosts.groupBy("before").agg(F.min(F.struct(F.col("text").isNotNull().alias("known"), "text")).alias("t"))
-    ghosts = ghosts.select(F.col("before").alias("range"), F.lit(True).alias("ghost"), F.lit(None).cast("long").alias("id"), F.col("t.text").alias("text"))
-    return rows.select("range", F.lit(False).alias("ghost"), "id", "text").unionByName(ghosts).repartition(parts, "range")
+    ghosts = ghosts.select(F.col("before").alias("range"), F.lit(True).alias("ghost"), F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("h"), F.col("t.text").alias("text"))
+    return rows.select("range", F.lit(False).alias("ghost"), "id", "h", "text").unionByName(ghosts).repartition(parts, "range")
+
+
+def place(cuts: Column, key: Column, most: int) -> Column:
+    """How many of the sorted cuts, fewer than `most`, are at most the key, by bisection inside one expression."""
+    steps = [F.lit(2**i) for i in range(most.bit_length(), -1, -1)]
+    past = lambda at, s: (at + s <= F.size(cuts)) & (F.get(cuts, at + s - 1) <= key)
+    return F.aggregate(F.array(*steps), F.lit(0), lambda at, s: F.when(past(at, s), at + s).otherwise(at))
 
 
 def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, sigs, edited, edited_sigs, next_sigs) of every row: the second half of a text's code points replaced by
     as many from the start of the next text."""
     rows = with_signatures(with_next(df, id_col, text_col), F.col("text"), "sigs")
-    over = Window.partitionBy("range").orderBy("ghost", F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    over = Window.partitionBy("range").orderBy("ghost", F.col("id").asc_nulls_first(), "h", F.col("text").asc_nulls_first())
     rows = rows.withColumns({"next": F.lead("text").over(over), "next_sigs": F.lead("sigs").over(over)}).where(~F.col("ghost"))
     text, after = F.coalesce("text", F.lit("")), F.coalesce("next", F.lit(""))
     half = F.floor(F.char_length(text) / 2).cast("int")

@@ -91,3 +91,21 @@ def test_near_duplicates_of_texts_without_anchors(spark):
     pairs, members = spotsigs.near_duplicates(df, least=0.8)
     cls = {r["id"]: r["class"] for r in members.collect()}
     assert {frozenset((r["a"], r["b"])) for r in pairs.collect()} == {frozenset((cls[i], cls[i + 10])) for i in range(10)}
+
+
+def test_ids_of_text_and_one_id_of_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"k{i:04}", f"text of the number {i} in the row") for i in range(200)] + [("k0100", f"one of the many texts {i}") for i in range(300)]
+    rows += [(None, f"no id at all in the row {i}") for i in range(300)] + [("k0100", "the same row of the table")] * 50
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    hashed = df.select("doc_id", F.xxhash64("text"), "text").collect()
+    order = sorted(map(tuple, hashed), key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    want = []
+    for k, (doc, _, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][2], len(text) // 2
+        want.append((str(doc), text, text[: len(text) - half] + after[:half]))
+    got = spotsigs.edited_texts(df).select("id", "text", "edited").collect()
+    assert sorted((str(r["id"]), r["text"], r["edited"]) for r in got) == sorted(want)
+    sizes = [r["count"] for r in spotsigs.with_next(df, "doc_id", "text").where("not ghost").groupBy("range").count().collect()]
+    assert max(sizes) <= 200
