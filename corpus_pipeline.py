@@ -7,8 +7,9 @@ shared folder and read again by the next.
 Documents without a text, or without a letter in it, have no language and go, as do those whose language is in doubt;
 what fails a quality rule goes; of each group of near-duplicates, texts that share 80 percent or more of their five-word
 shingles, the one with the least id stays, once; the mix repeats
-or leaves out documents until the sources come near their targets, so its output holds some documents several times. An
-empty table passes through all stages."""
+or leaves out documents until the sources come near their targets, so its output holds some documents several times, and
+is written shard by shard in the random order that the mix draws; packing takes the records as they stand there. An empty
+table passes through all stages."""
 
 from __future__ import annotations
 
@@ -45,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _same(docs, mixing.mix(docs))
+    return _same(docs, mixing.shuffled(mixing.mix(docs)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
