@@ -20,28 +20,55 @@ def weibull_cdf(x: Column, shape: Column, scale: Column) -> Column:
     return F.when(x >= 0, 1 - F.exp(-F.pow(x / scale, shape)))
 
 
-def _fact(n: Column) -> Column:
-    return F.factorial(n.cast("int")).cast("double")
+#: The series of ln Gamma behind a shift: to 1e-15 from SHIFT on.
+SHIFT, SERIES = 10, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188]
+
+
+def gammaln(x: Column) -> Column:
+    """ln Gamma(x) for positive x, as one native expression: Stirling's series of x + SHIFT, less the logarithms between."""
+    z = x + SHIFT
+    out = (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi))
+    for i, c in enumerate(SERIES):
+        out = out + F.lit(c) / F.pow(z, F.lit(2 * i + 1))
+    for i in range(SHIFT):
+        out = out - F.ln(x + i)
+    return F.when(x > 0, out)
+
+
+def _ln_choose(n: Column, k: Column) -> Column:
+    return gammaln(n + 1.0) - gammaln(k + 1.0) - gammaln(n - k + 1.0)
+
+
+def _times_ln(n: Column, p: Column) -> Column:
+    """n ln p, 0 if n is, minus infinity if p is."""
+    return F.when(n == 0, F.lit(0.0)).when(p <= 0, F.lit(float("-inf"))).otherwise(n * F.ln(p))
 
 
 def poisson_pmf(k: Column, mean: Column) -> Column:
-    """For k up to 20."""
-    return F.exp(-mean) * F.pow(mean, k) / _fact(k)
+    return F.when(k >= 0, F.exp(_times_ln(k, mean) - mean - gammaln(k + 1.0))).otherwise(F.lit(0.0))
 
 
 def binom_pmf(k: Column, n: Column, p: Column) -> Column:
-    """For n up to 20."""
-    return _fact(n) / _fact(k) / _fact(n - k) * F.pow(p, k) * F.pow(1 - p, n - k)
+    inside = F.exp(_ln_choose(n, k) + _times_ln(k, p) + _times_ln(n - k, 1 - p))
+    return F.when((k >= 0) & (k <= n), inside).otherwise(F.lit(0.0))
 
 
 def negbinom_pmf(failures: Column, successes: Column, p: Column) -> Column:
-    n = failures + successes - 1
-    return _fact(n) / _fact(failures) / _fact(successes - 1) * F.pow(p, successes) * F.pow(1 - p, failures)
+    return F.exp(_ln_choose(failures + successes - 1, failures) + _times_ln(successes, p) + _times_ln(failures, 1 - p))
 
 
 def hypgeom_pmf(k: Column, draws: Column, hits: Column, total: Column) -> Column:
-    choose = lambda n, r: _fact(n) / _fact(r) / _fact(n - r)
-    return choose(hits, k) * choose(total - hits, draws - k) / choose(total, draws)
+    inside = F.exp(_ln_choose(hits, k) + _ln_choose(total - hits, draws - k) - _ln_choose(total, draws))
+    return F.when((k >= 0) & (k <= hits) & (k <= draws) & (draws - k <= total - hits), inside).otherwise(F.lit(0.0))
+
+
+def confidence_norm(alpha: Column, sd: Column, size: Column) -> Column:
+    """Half the width of a mean's interval of confidence."""
+    return norm_inv(1 - alpha / 2, F.lit(0.0), F.lit(1.0)) * sd / F.sqrt(size)
+
+
+def confidence_t(alpha: Column, sd: Column, size: Column) -> Column:
+    return t_inv(1 - alpha / 2, size - 1) * sd / F.sqrt(size)
 
 
 def norm_pdf(x: Column, mean: Column, sd: Column) -> Column:
@@ -51,8 +78,16 @@ def norm_pdf(x: Column, mean: Column, sd: Column) -> Column:
 
 # integrals, on numpy arrays
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erf = np.vectorize(math.erf, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    z = np.asarray(x, float) + SHIFT
+    out = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + sum(c / z ** (2 * i + 1) for i, c in enumerate(SERIES))
+    return out - sum(np.log(x + i) for i in range(SHIFT))
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.sign(x) * gamma_p(np.full(x.shape, 0.5), x * x)
 
 
 def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -67,6 +102,8 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         n = n + 1
         term = term * x / n
         total += term
+        if not (np.abs(term)[small] > 1e-17 * np.abs(total)[small]).any():
+            break
     out = np.where(small, front * total, out)
     b = x + 1 - a
     c = np.full(a.shape, 1e300)
@@ -80,6 +117,8 @@ def gamma_p(a: np.ndarray, x: np.ndarray) -> np.ndarray:
         c = b + an / c
         c = np.where(np.abs(c) < 1e-300, 1e-300, c)
         h = h * d * c
+        if not (np.abs(d * c - 1)[~small] > 1e-16).any():
+            break
     out = np.where(small, out, 1 - front * h)
     return np.where(x <= 0, 0.0, out)
 
@@ -99,6 +138,8 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             d = 1 / tiny(1 + num * d)
             c = tiny(1 + num / c)
             h = h * d * c
+        if not (np.abs(d * c - 1) > 1e-16).any():
+            break
     out = np.where(flip, 1 - front * h, front * h)
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
@@ -128,5 +169,38 @@ chisq_cdf_np = lambda x, df: gamma_p(df / 2, x / 2)
 f_cdf_np = lambda x, d1, d2: beta_i(d1 / 2, d2 / 2, d1 * x / (d1 * x + d2))
 t_cdf_np = lambda x, df: np.where(x >= 0, 1 - 0.5 * beta_i(df / 2, 0.5, df / (df + x * x)), 0.5 * beta_i(df / 2, 0.5, df / (df + x * x)))
 
+
+
+def _inverse(cdf, low: float | None):
+    """The value at which a distribution function, growing from `low` (None: without end), reaches p: an interval is doubled
+    until it holds the value, and halved until nothing lies between its ends. NaN outside 0 < p < 1."""
+
+    def solve(p: np.ndarray, *params: np.ndarray) -> np.ndarray:
+        p = np.asarray(p, float)
+        ok = (p > 0) & (p < 1)
+        q = np.where(ok, p, 0.5)
+        a, b = np.full(p.shape, -1.0 if low is None else low), np.full(p.shape, 1.0)
+        for _ in range(400):
+            under = cdf(b, *params) < q
+            over = (cdf(a, *params) > q) if low is None else np.zeros(p.shape, bool)
+            if not (under | over).any():
+                break
+            b, a = np.where(under, 2 * b, b), np.where(over, 2 * a, a)
+        for _ in range(200):
+            m = (a + b) / 2
+            up = cdf(m, *params) < q
+            a, b = np.where(up, m, a), np.where(up, b, m)
+            if ((b - a) <= 1e-15 * np.maximum(np.abs(a), np.abs(b))).all():
+                break
+        return np.where(ok, (a + b) / 2, np.nan)
+
+    return solve
+
+
+norm_inv_np, t_inv_np = _inverse(norm_cdf_np, None), _inverse(t_cdf_np, None)
+chisq_inv_np, gamma_inv_np, f_inv_np, lognorm_inv_np = (_inverse(f, 0.0) for f in (chisq_cdf_np, gamma_cdf_np, f_cdf_np, lognorm_cdf_np))
+norm_inv, t_inv, chisq_inv, gamma_inv, f_inv, lognorm_inv = map(_vector, (norm_inv_np, t_inv_np, chisq_inv_np, gamma_inv_np, f_inv_np, lognorm_inv_np))
+beta_inv = _vector(_inverse(lambda x, a, b: beta_i(a, b, x), 0.0))
+
 norm_cdf, lognorm_cdf, gamma_cdf, f_cdf = map(_vector, (norm_cdf_np, lognorm_cdf_np, gamma_cdf_np, f_cdf_np))
 beta_cdf, chisq_cdf, t_cdf = _vector(lambda x, a, b: beta_i(a, b, x)), _vector(chisq_cdf_np), _vector(t_cdf_np)

@@ -88,6 +88,27 @@ def combin(n: Column, k: Column) -> Column:
     return permut(n, k) / fact(k)
 
 
+def multinomial(*counts: Column) -> Column:
+    """Ways to deal out the sum of the counts into groups of these sizes."""
+    total, out = counts[0].cast("long"), F.lit(1.0)
+    for c in counts[1:]:
+        total = total + c
+        out = out * combin(total, c)
+    return out
+
+
+def factdouble(n: Column) -> Column:
+    """Product of every other number down from n."""
+    steps = F.sequence(F.lit(0), F.floor(F.greatest(n, F.lit(1)) / 2).cast("int"))
+    return F.aggregate(steps, F.lit(1.0), lambda a, i: a * F.greatest(n - 2 * i, F.lit(1)))
+
+
+def munit(n: Column) -> Column:
+    """The unit matrix, by rows."""
+    places = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.transform(places, lambda j: (i == j).cast("int")))
+
+
 def atan2_xy(x: Column, y: Column) -> Column:
     """Sheets take x first."""
     return F.atan2(y, x)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import placed
 
 #: Patterns that are held in memory of every task; more are left to the planner.
 MOST_PATTERNS = 10_000
@@ -44,21 +45,9 @@ def nearest(df: DataFrame, table: DataFrame, at: str, key: str, value: str, out:
     return found.select("_row.*", out)
 
 
-def global_row_number(df: DataFrame, ordinal: str, out: str, ranges: int = 64) -> DataFrame:
-    """df numbered from 1 by a unique ordinal without one task for all: the ordinal is cut into ranges at its quantiles,
-    rows are numbered within their range, and a range starts behind the counts of those before it."""
-    cuts = df.agg(F.percentile_approx(ordinal, [i / ranges for i in range(1, ranges)], 100 * ranges)).collect()[0][0] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    rows = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(ordinal))))
-    counts = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # at most `ranges` rows
-    offsets, at = [], 0
-    for k in sorted(counts):
-        offsets += [F.lit(k), F.lit(at)]
-        at += counts[k]
-    if not offsets:
-        return df.withColumn(out, F.lit(0).cast("int"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(ordinal)) + F.try_element_at(F.create_map(*offsets), F.col("_range"))
-    return rows.withColumn(out, place).drop("_range")
+def global_row_number(df: DataFrame, ordinal: str, out: str) -> DataFrame:
+    """df numbered from 1 by a unique ordinal."""
+    return placed(df, [F.col(ordinal).asc()], out)
 
 
 def wildcard(df: DataFrame, patterns: DataFrame, text: str, pattern: str, ordinal: str, value: str, out: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def rank_avg(value: str, by: list[str]) -> Column:
     """Mean rank of ties, largest first."""
@@ -17,6 +19,31 @@ def percent_rank_exc(value: str, by: list[str]) -> Column:
     return F.rank().over(over.orderBy(value)) / (F.count("*").over(over) + 1)
 
 
+def kth(df: DataFrame, by: list[str], value: str, k: int, out: str, largest: bool = True) -> DataFrame:
+    """(by, out): the k-th largest or smallest value of each group, repeats counted; null for groups of fewer values. Ranks
+    are limited to k before rows are exchanged, so no group is gathered."""
+    order = F.desc(value) if largest else F.asc(value)
+    ranked = df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    found = ranked.where(F.col("_r") == k).select(*by, F.col(value).alias(out))
+    return df.select(*by).distinct().join(found, by, "left")
+
+
+def placed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """df with each row's place, from 1, in a total order, without one task for all: rows are dealt into ranges of the
+    order, staged, numbered in their range, and a range starts behind the counts of those before it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "places")
+    counts = {r["_range"]: r["count"] for r in rows.groupBy("_range").count().collect()}  # at most `parts` rows
+    before, at = [], 0
+    for k in sorted(counts):
+        before += [F.lit(k), F.lit(at).cast("long")]
+        at += counts[k]
+    if not before:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.try_element_at(F.create_map(*before), F.col("_range"))
+    return rows.withColumn(out, place).drop("_range")
+
+
 def keep_newest(df: DataFrame, by: list[str], newest: list[Column], most: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*newest))).where(F.col("_r") <= most).drop("_r")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import distributions
 from ..functions.criteria import all_of, criterion
 from ..session import table
 from .registry import Registry
@@ -16,6 +17,10 @@ def _lines(spark, d):
     return table(spark, d, "lineitem")
 
 
+def _signed():
+    return F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.lit(1)) * (1 + F.col("l_tax") / 1000)
+
+
 BY = ["l_returnflag", "l_linestatus"]
 
 add(
@@ -25,11 +30,13 @@ add(
         F.sum(F.col("l_quantity") * F.col("l_quantity")).alias("sumsq"),
         F.round(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 2).alias("sumproduct"),
         F.coalesce(F.sum(F.when(F.col("l_quantity") < 0, F.col("l_quantity"))), F.lit(0)).alias("empty_sum"),
-        F.round(F.exp(F.sum(F.ln(F.when(F.col("l_linenumber") <= 2, 1 + F.col("l_tax") / 1000)))), 6).alias("product"),
+        F.round(F.product(F.when(F.col("l_linenumber") <= 2, _signed())), 6).alias("product"),
+        F.product(F.when(F.col("l_linenumber") <= 2, F.col("l_tax"))).alias("product_zero"),
     ),
     """SELECT l_returnflag, l_linestatus, coalesce(sum(l_quantity), 0) AS total, sum(l_quantity * l_quantity) AS sumsq,
        round(sum(l_extendedprice * l_discount), 2) AS sumproduct, coalesce(sum(l_quantity) FILTER (WHERE l_quantity < 0), 0) AS empty_sum,
-       round(exp(sum(ln(1 + l_tax / 1000)) FILTER (WHERE l_linenumber <= 2)), 6) AS product
+       round(product(CASE WHEN l_orderkey % 3 = 0 THEN -1 ELSE 1 END * (1 + l_tax / 1000)) FILTER (WHERE l_linenumber <= 2), 6) AS product,
+       product(l_tax) FILTER (WHERE l_linenumber <= 2) AS product_zero
        FROM lineitem GROUP BY ALL""",
 )
 
@@ -210,11 +217,14 @@ def _tests(s, d):
         F.avg("l_quantity").alias("m"), F.stddev_samp("l_quantity").alias("sd"), F.count("*").alias("n"),
         (F.count_if(F.col("l_quantity").between(10, 20)) / F.count("*")).alias("prob"),
     )
+    ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    t, z = F.try_divide(F.col("a") - F.col("b"), F.sqrt(ea + eb)), (F.col("m") - 25) / (F.col("sd") / F.sqrt("n"))
+    free = F.try_divide(F.pow(ea + eb, F.lit(2)), F.try_divide(F.pow(ea, F.lit(2)), F.col("na") - 1) + F.try_divide(F.pow(eb, F.lit(2)), F.col("nb") - 1))
+    x = x.select("l_returnflag", t.alias("t"), z.alias("z"), free.alias("free"), "prob")
+    # T.TEST, unequal variances, two tails; Z.TEST, the upper tail
     return x.select(
-        "l_returnflag",
-        F.round(F.try_divide(F.col("a") - F.col("b"), F.sqrt(F.col("va") / F.col("na") + F.col("vb") / F.col("nb"))), 8).alias("t_stat"),
-        F.round((F.col("m") - 25) / (F.col("sd") / F.sqrt("n")), 8).alias("z_stat"),
-        "prob",
+        "l_returnflag", F.round("t", 8).alias("t_stat"), F.round("z", 8).alias("z_stat"), "prob",
+        F.round(2 * (1 - distributions.t_cdf(F.abs("t"), F.col("free"))), 8).alias("t_test"), F.round(1 - distributions.norm_cdf(F.col("z"), F.lit(0.0), F.lit(1.0)), 8).alias("z_test"),
     )
 
 
@@ -226,7 +236,11 @@ add(
          count(*) FILTER (WHERE l_linestatus = 'O') AS na, count(*) FILTER (WHERE l_linestatus = 'F') AS nb,
          avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd, count(*) AS n, count(*) FILTER (WHERE l_quantity BETWEEN 10 AND 20) * 1.0 / count(*) AS prob
          FROM lineitem GROUP BY l_returnflag)
-       SELECT l_returnflag, round((a - b) / sqrt(va / na + vb / nb), 8) AS t_stat, round((m - 25) / (sd / sqrt(n)), 8) AS z_stat, prob FROM x""",
+       , y AS (SELECT *, (a - b) / sqrt(va / na + vb / nb) AS t, (m - 25) / (sd / sqrt(n)) AS z, power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)) AS v FROM x)
+       SELECT l_returnflag, round(t, 8) AS t_stat, round(z, 8) AS z_stat, prob,
+              round(1 - 2 * abs(t) / 3000 * list_sum(list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+                * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * power(1 + power(t * i / 1000, 2) / v, -(v + 1) / 2))), 8) AS t_test,
+              round(0.5 - z / 3000 * list_sum(list_transform(range(1001), lambda i: (CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(z * i / 1000, 2) / 2) / sqrt(2 * pi()))), 8) AS z_test FROM y""",
 )
 
 

@@ -60,7 +60,7 @@ add(
 add(
     "c07_position",
     lambda s, d: lookup.position(table(s, d, "nation"), "n_regionkey", "n_nationkey"),
-    """WITH x AS (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT n_regionkey, min(p)::INT AS position FROM x GROUP BY n_regionkey""",
+    """WITH x AS (SELECT n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS p FROM nation) SELECT n_regionkey, min(p) AS position FROM x GROUP BY n_regionkey""",
 )
 
 

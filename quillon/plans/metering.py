@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import datesx, rules
-from ..operators import measures
+from ..operators import measures, ranking
 from ..session import table
 from .registry import Registry
 
@@ -183,8 +183,8 @@ add(
 )
 add(
     "i15_dead_letters",
-    lambda s, d: _events(s, d).where((F.col("event_type") == "error") & (F.col("ts") > F.lit("2024-01-10").cast("timestamp"))).orderBy("ts", "event_id").limit(1000).select("event_id"),
-    "SELECT event_id FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-10' ORDER BY ts, event_id LIMIT 1000",
+    lambda s, d: ranking.placed(_events(s, d).where((F.col("event_type") == "error") & (F.col("ts") > F.lit("2024-01-10").cast("timestamp"))).select("event_id", "ts"), [F.asc("ts"), F.asc("event_id")], "place").drop("ts"),
+    "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-10'",
 )
 
 

@@ -349,7 +349,63 @@ def _integrals(s, d):
     return table(s, d, "part").select(
         "p_partkey", ds.norm_cdf(x, v(1), v(0.5)).alias("norm"), ds.lognorm_cdf(x, v(0), v(1)).alias("lognorm"), ds.gamma_cdf(x, v(2), v(1.5)).alias("gamma"), ds.chisq_cdf(x, v(3)).alias("chisq"),
         ds.beta_cdf(x / 3, v(2), v(5)).alias("beta"), ds.f_cdf(x, v(4), v(9)).alias("f"), ds.t_cdf(x, v(7)).alias("t"),
+    ).select("p_partkey", *[F.round(c, 8).alias(c) for c in ("norm", "lognorm", "gamma", "chisq", "beta", "f", "t")])
+
+
+def _area(density: str, low: str, high: str, n: int = 600) -> str:
+    """The integral of a density, an expression of u, by Simpson's rule."""
+    return f"(({high}) - ({low})) / {3 * n} * list_sum(list_transform(range({n + 1}), lambda i: (CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density.replace('u', f'(({low}) + (({high}) - ({low})) * i / {n})')})))"
+
+
+add(
+    "h10_distribution_integrals",
+    _integrals,
+    f"""WITH x AS (SELECT p_partkey, p_retailprice / 1000 AS x FROM part)
+        SELECT p_partkey, round(0.5 + {_area("2 * exp(-power((u - 1) / 0.5, 2) / 2) / sqrt(2 * pi())", "1", "x")}, 8) AS norm, round(0.5 + {_area("exp(-u * u / 2) / sqrt(2 * pi())", "0", "ln(x)")}, 8) AS lognorm,
+               round(1 - exp(-x / 1.5) * (1 + x / 1.5), 8) AS gamma, round({_area("2 * u * u * exp(-u * u / 2) / (power(2, 1.5) * gamma(1.5))", "0", "sqrt(x)")}, 8) AS chisq,
+               round(1 - power(1 - x / 3, 6) - 2 * x * power(1 - x / 3, 5), 8) AS beta, round({_area("power(4 / 9, 2) * u * power(1 + 4 * u / 9, -6.5) * gamma(6.5) / (gamma(2) * gamma(4.5))", "0", "x")}, 8) AS f,
+               round(0.5 + {_area("gamma(4) / (sqrt(7 * pi()) * gamma(3.5)) * power(1 + u * u / 7, -4)", "0", "x")}, 8) AS t FROM x""".replace("gamma(4) / (sqrt", "6.0 / (sqrt"),
+)
+
+
+def _inverses(s, d):
+    """Each inverse, put into its distribution function again, gives the probability."""
+    from ..functions import distributions as ds
+
+    v = lambda n: F.lit(float(n))
+    p = F.col("p_size") / 51
+    part = table(s, d, "part").select("p_partkey", "p_size", p.alias("p"))
+    pairs = {"norm": (ds.norm_inv, ds.norm_cdf, (1, 0.5)), "lognorm": (ds.lognorm_inv, ds.lognorm_cdf, (0, 1)), "gamma": (ds.gamma_inv, ds.gamma_cdf, (2, 1.5)), "chisq": (ds.chisq_inv, ds.chisq_cdf, (3,)),
+             "beta": (ds.beta_inv, ds.beta_cdf, (2, 5)), "f": (ds.f_inv, ds.f_cdf, (4, 9)), "t": (ds.t_inv, ds.t_cdf, (7,))}
+    back = [F.round(cdf(inv(F.col("p"), *map(v, a)), *map(v, a)), 9).alias(k) for k, (inv, cdf, a) in pairs.items()]
+    return part.select("p_partkey", *back, F.round(ds.gammaln(F.col("p_size") + 0.5), 9).alias("gammaln"), F.round(ds.confidence_norm(v(0.05), v(2.5), F.col("p_size")), 9).alias("confidence"), F.to_json(mathx.munit(F.col("p_size") % 4)).alias("munit"))
+
+
+add(
+    "h10_distribution_inverses",
+    _inverses,
+    "SELECT p_partkey, " + ", ".join(f"round(p_size / 51, 9) AS {k}" for k in ("norm", "lognorm", "gamma", "chisq", "beta", "f", "t"))
+    + """, round(lgamma(p_size + 0.5), 9) AS gammaln, round(1.959963984540054 * 2.5 / sqrt(p_size), 9) AS confidence, ['[]', '[[1]]', '[[1,0],[0,1]]', '[[1,0,0],[0,1,0],[0,0,1]]'][p_size % 4 + 1] AS munit FROM part""",
+)
+
+
+def _large_densities(s, d):
+    """Counts far beyond the factorials that a double holds."""
+    from ..functions import distributions as ds
+
+    k = F.col("p_size") * 13
+    return table(s, d, "part").select(
+        "p_partkey", F.round(ds.poisson_pmf(k, F.lit(300.0)), 10).alias("poisson"), F.round(ds.binom_pmf(k, F.lit(1000), F.lit(0.3)), 10).alias("binom"),
+        F.round(ds.negbinom_pmf(k, F.lit(40), F.lit(0.1)), 10).alias("negbinom"), F.round(ds.hypgeom_pmf(k, F.lit(700), F.lit(900), F.lit(2000)), 10).alias("hypgeom"), ds.binom_pmf(F.lit(0), k, F.lit(0.0)).alias("sure"),
     )
 
 
-add("h10_distribution_integrals", _integrals)
+_CHOOSE = "(lgamma(({0}) + 1) - lgamma(({1}) + 1) - lgamma(({0}) - ({1}) + 1))"
+add(
+    "h10_large_densities",
+    _large_densities,
+    f"""WITH x AS (SELECT p_partkey, p_size * 13 AS k FROM part)
+        SELECT p_partkey, round(exp(k * ln(300) - 300 - lgamma(k + 1)), 10) AS poisson, round(exp({_CHOOSE.format(1000, "k")} + k * ln(0.3) + (1000 - k) * ln(0.7)), 10) AS binom,
+               round(exp({_CHOOSE.format("k + 39", "k")} + 40 * ln(0.1) + k * ln(0.9)), 10) AS negbinom, round(exp({_CHOOSE.format(900, "k")} + {_CHOOSE.format(1100, "700 - k")} - {_CHOOSE.format(2000, 700)}), 10) AS hypgeom,
+               1.0::DOUBLE AS sure FROM x""",
+)

@@ -149,8 +149,8 @@ add(
 # sorts, limits, top-k
 add(
     "f01_kth_largest",
-    lambda s, d: table(s, d, "lineitem").groupBy("l_suppkey").agg(F.element_at(F.sort_array(F.collect_set("l_extendedprice"), asc=False), 3).alias("third_largest"), F.element_at(F.sort_array(F.collect_set("l_extendedprice")), 2).alias("second_smallest")),
-    "SELECT l_suppkey, list_sort(list(DISTINCT l_extendedprice), 'DESC')[3] AS third_largest, list_sort(list(DISTINCT l_extendedprice))[2] AS second_smallest FROM lineitem GROUP BY l_suppkey",
+    lambda s, d: ranking.kth(table(s, d, "lineitem"), ["l_suppkey"], "l_quantity", 3, "third_largest").join(ranking.kth(table(s, d, "lineitem"), ["l_suppkey"], "l_quantity", 2, "second_smallest", largest=False), "l_suppkey"),
+    "SELECT l_suppkey, list_sort(list(l_quantity), 'DESC')[3] AS third_largest, list_sort(list(l_quantity))[2] AS second_smallest FROM lineitem GROUP BY l_suppkey",
 )
 add(
     "f02_newest_first",
@@ -171,14 +171,18 @@ add("f03_pagination", _page, "SELECT c_custkey, c_acctbal, (SELECT count(*) FROM
 
 def _multi(s, d):
     e = table(s, d, "events").withColumn("expires", F.when(F.col("event_id") % 3 != 0, F.col("ts")))
-    return e.orderBy(F.asc("event_type"), F.asc_nulls_last("expires"), "event_id").limit(500).select("event_id", "event_type", "expires")
+    return ranking.placed(e.select("event_id", "event_type", "expires"), [F.asc("event_type"), F.asc_nulls_last("expires"), F.asc("event_id")], "place")
 
 
-add("f04_multi_key_sort", _multi, "SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN ts END AS expires FROM events ORDER BY event_type, expires NULLS LAST, event_id LIMIT 500")
+add(
+    "f04_multi_key_sort",
+    _multi,
+    "WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 3 <> 0 THEN ts END AS expires FROM events) SELECT *, row_number() OVER (ORDER BY event_type, expires NULLS LAST, event_id) AS place FROM e",
+)
 add(
     "f05_eviction_order",
-    lambda s, d: table(s, d, "orders").orderBy(F.when(F.col("o_orderstatus") == "F", 0).otherwise(1), "o_orderdate", "o_orderkey").limit(100).select("o_orderkey", "o_orderstatus"),
-    "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate, o_orderkey LIMIT 100",
+    lambda s, d: ranking.placed(table(s, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate"), [F.when(F.col("o_orderstatus") == "F", 0).otherwise(1).asc(), F.asc("o_orderdate"), F.asc("o_orderkey")], "place").drop("o_orderdate"),
+    "SELECT o_orderkey, o_orderstatus, row_number() OVER (ORDER BY CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderdate, o_orderkey) AS place FROM orders",
 )
 add(
     "f06_due_first",
