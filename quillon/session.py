@@ -45,12 +45,15 @@ def sample_dir(scale: str = "0.001") -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the folder that all executors share; in a temporary folder of our own if none is set."""
+    """A fresh folder name in the folder that all executors share; in a temporary folder of our own if none is set and
+    driver and executors are one process."""
     import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         root = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/work/{name}-{uuid.uuid4().hex}"

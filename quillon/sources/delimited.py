@@ -2,7 +2,7 @@
 
 Every cell is a string. Headers are made unique by the first free suffix; a table is as wide as its widest record, extra
 columns are `Unnamed: <index>`, short records are filled with empty cells; blank lines are skipped. Records are parsed in
-parallel: a file without quoted line breaks is read by lines; one with them is read whole, by file."""
+parallel, by lines, and lines of one quoted cell are put together again."""
 
 from __future__ import annotations
 
@@ -11,15 +11,19 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.textx import delimited_cell
 from ..operators.ranking import first_free_names
+from ..session import staged
 
 DELIMITERS = [",", ";", "\t", "|"]
 SAMPLE_RECORDS = 50
 SAMPLE_CHARS = 1 << 20
+#: Different headers, at most, of the files of one table.
+MOST_HEADERS = 1000
+BOM = "\ufeff"
 
 
 def records(text: str, delimiter: str) -> list[list[str]]:
@@ -59,29 +63,103 @@ def table_of(rows: list[list[str]]) -> tuple[list[str], list[list[str]], int]:
     return first_free_names(head), [r + [""] * (width - len(r)) for r in rows[1:]], ragged
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A table of strings. The header and the width come from the data: one pass finds the widest record, one reads."""
-    lines = spark.read.option("encoding", encoding).text(path) if encoding != "UTF-8" else spark.read.text(path)
-    head = [r[0] for r in lines.where("trim(value) <> ''").limit(SAMPLE_RECORDS).collect()]
-    if not head:
+def text_records(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8", line_break: str = "\n") -> DataFrame:
+    """(file, block, line, record): the records of delimited files, blank ones left out, in the order of block and line
+    within a file. Lines are read in parallel; a line belongs to the record before it if an odd number of quotes stands
+    between them in the file, which is counted by split first. Only the lines of records that have several are exchanged."""
+    read = spark.read.option("lineSep", line_break).option("encoding", encoding) if line_break != "\n" or encoding != "UTF-8" else spark.read.option("lineSep", "\n")
+    lines = read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    odd = (F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    lines = lines.withColumn("odd", odd)
+    end = lambda c: F.regexp_replace(c, "\r$", "")
+    if lines.where("odd = 1").isEmpty():
+        records = lines.select("file", "block", "line", end(F.col("value")).alias("record"))
+    else:
+        splits = lines.groupBy("file", "block").agg((F.sum("odd") % 2).alias("odd"))
+        before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.select("file", "block", F.coalesce(F.sum("odd").over(before) % 2, F.lit(0)).alias("inside"))
+        order = Window.partitionBy("file", "block").orderBy("line")
+        lines = lines.join(splits, ["file", "block"]).withColumn("after", (F.sum("odd").over(order) + F.col("inside")) % 2)
+        lines = staged(lines.withColumn("before", (F.col("after") + F.col("odd")) % 2), "lines")
+        whole = lines.where("before = 0 AND after = 0").select("file", "block", "line", F.col("value").alias("record"))
+        # a line that opens a record is the key of all up to the one that closes it, in its split or a later one
+        part = lines.where("before = 1 OR after = 1").withColumn("opens", F.when(F.col("before") == 0, F.struct("block", "line")))
+        run = Window.partitionBy("file").orderBy("block", "line").rowsBetween(Window.unboundedPreceding, 0)
+        part = part.withColumn("key", F.last("opens", ignorenulls=True).over(run))
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "value"))), lambda x: x.value), line_break)
+        part = part.groupBy("file", "key").agg(joined.alias("record")).select("file", "key.block", "key.line", "record")
+        records = whole.unionByName(part).withColumn("record", end(F.col("record")))
+    return records.where(F.col("record") != "")
+
+
+def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str | None = None, encoding: str = "UTF-8", line_break: str | None = None) -> DataFrame:
+    """A table of strings. Every file's first record is its header, by which its columns are bound; the table's columns are
+    those of all headers, in the order of the files' names. A first pass finds headers and widths, a second one reads."""
+    sample = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(SAMPLE_RECORDS).collect()]
+    if line_break is None:
+        # the default reader ends lines at any break, so a file of CR alone shows in lines that hold none
+        line_break = "\r" if guess_line_break(_head(spark, path, encoding)) == "\r" else "\n"
+    sample = [x for x in sample if x]
+    if not sample:
         return spark.createDataFrame([], "value string").drop("value")
-    head[0] = head[0].removeprefix("﻿")
-    delimiter = delimiter or detect_delimiter("\n".join(head))
-    cells = parse_cells(F.col("value"), delimiter)
-    rows = lines.where("trim(value) <> ''").select("value", cells.alias("c"))
-    width = rows.agg(F.max(F.size("c"))).collect()[0][0]
-    names, _, _ = table_of([records(head[0], delimiter)[0], [""] * width])
-    body = rows.where(F.regexp_replace("value", "^\ufeff", "") != F.lit(head[0]))
-    return body.select(*[F.coalesce(F.get("c", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
-
-
-def parse_cells(line: Column, delimiter: str) -> Column:
-    """The cells of one line: quoted ones may hold delimiters and doubled quotes."""
-    d = "\\t" if delimiter == "\t" else "\\" + delimiter
-    # each cell ends at a delimiter that an even number of quotes precedes
-    parts = F.split(line, d + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    bare = lambda c: F.when(c.rlike(r'(?s)^".*"$'), F.replace(F.regexp_replace(c, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))).otherwise(c)
-    return F.transform(parts, bare)
+    delimiter = delimiter or detect_delimiter("\n".join(sample).removeprefix(BOM))
+    rows = text_records(spark, path, encoding, line_break)
+    rows = rows.select("file", "block", "line", parse_cells(F.col("record"), delimiter).alias("c"))
+    files = rows.groupBy("file").agg(F.min(F.struct("block", "line", "c")).alias("head"), F.max(F.size("c")).alias("width"))
+    # a header for each file; files of one header and width are read alike
+    heads = files.groupBy("head.c", "width").agg(F.min("file").alias("first")).orderBy("first").limit(MOST_HEADERS + 1).collect()
+    if len(heads) > MOST_HEADERS:
+        raise ValueError(f"the files have more than {MOST_HEADERS} different headers")
+    names = [table_of([[x.removeprefix(BOM) if i == 0 else x for i, x in enumerate(h["c"])], [""] * h["width"]])[0] for h in heads]
+    columns = list(dict.fromkeys(n for x in names for n in x))
+    body = rows.join(files.select("file", F.col("head.block").alias("hb"), F.col("head.line").alias("hl"), F.col("head.c").alias("hc"), "width"), "file")
+    body = body.where((F.col("block") != F.col("hb")) | (F.col("line") != F.col("hl")))
+    which = F.lit(0)
+    for k, h in enumerate(heads[1:], 1):
+        which = F.when((F.col("hc") == F.array(*map(F.lit, h["c"]))) & (F.col("width") == h["width"]), k).otherwise(which)
+    body = body.withColumn("which", which) if len(heads) > 1 else body
+
+    def cell(name: str) -> Column:
+        found = F.lit("")
+        for k, x in enumerate(names):
+            if name in x:
+                value = F.coalesce(F.get("c", F.lit(x.index(name))), F.lit(""))
+                found = value if len(names) == 1 else F.when(F.col("which") == k, value).otherwise(found)
+        return found
+
+    return body.select(*[cell(n).alias(n) for n in columns])
+
+
+def _head(spark: SparkSession, path: str | list[str], encoding: str) -> str:
+    """The first bytes of one file, decoded."""
+    first = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").where("length > 0").limit(1)
+    name = [r[0] for r in first.collect()]
+    if not name:
+        return ""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(name[0])
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SAMPLE_CHARS))).decode(encoding, errors="replace")
+    finally:
+        stream.close()
+
+
+#: Two characters of the private plane stand for delimiters between cells and for themselves, while a record is cut.
+MARK, CUT = "\U0010fffd", "\U0010fffc"
+
+
+def parse_cells(record: Column, delimiter: str) -> Column:
+    """The cells of one record: quoted ones may hold delimiters, line breaks and doubled quotes. The text is cut at quotes,
+    every second piece lies between quotes, and the delimiters of the others end cells: one pass each of literal searches,
+    linear in the record and without a pattern that could go deep."""
+    safe = F.replace(F.replace(record, F.lit(MARK), F.lit(MARK + "m")), F.lit(CUT), F.lit(MARK + "c"))
+    pieces = F.transform(F.split(safe, '"', -1), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(delimiter), F.lit(CUT))).otherwise(p))
+    cells = F.split(F.array_join(pieces, '"'), CUT, -1)
+    plain = lambda c: F.replace(F.replace(c, F.lit(MARK + "c"), F.lit(CUT)), F.lit(MARK + "m"), F.lit(MARK))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))
+    bare = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.char_length(c) > 1), inner(c)).otherwise(c)
+    return F.transform(cells, lambda c: plain(bare(c)))
 
 
 def read_whole(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:

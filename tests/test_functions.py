@@ -121,3 +121,71 @@ def test_teds():
     assert teds(a, a.replace("<td>b</td>", "")) == pytest.approx(1 - 1 / 6)
     assert teds(a, "<table></table>") == pytest.approx(1 / 6)
     assert teds(a, a.replace("<td>a", '<td colspan="2">a')) == pytest.approx(1 - 1 / 6)
+
+
+def _brute_levels(nodes, edges):
+    level, left = {}, dict.fromkeys(nodes, 0)
+    for _, b in edges:
+        left[b] += 1
+    now = [n for n in nodes if not left[n]]
+    depth = 0
+    while now:
+        level |= dict.fromkeys(now, depth)
+        for a, b in [e for e in edges if e[0] in set(now)]:
+            left[b] -= 1
+        now, depth = [n for n in nodes if not left[n] and n not in level], depth + 1
+    return {n: level.get(n) for n in nodes}
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_graphs_of_any_depth(spark, monkeypatch, small):
+    from quillon.operators import dag
+
+    size, rungs = (1000, 40) if small else (12, 6)
+    if not small:
+        monkeypatch.setattr(dag, "SMALL", 3)
+    chain = [(i, i + 1) for i in range(size)]
+    ladder = [(a, b) for k in range(rungs) for a, b in ((-4 * k, -4 * k - 1), (-4 * k, -4 * k - 2), (-4 * k - 1, -4 * k - 4), (-4 * k - 2, -4 * k - 4))]
+    loop = [(5000, 5001), (5001, 5000), (5001, 5002)]
+    edges = chain + ladder + loop
+    nodes = sorted({n for e in edges for n in e})
+    e, n = spark.createDataFrame(edges, "src long, dst long").repartition(2), spark.createDataFrame([(x,) for x in nodes], "node long")
+    assert {r["node"]: r["level"] for r in dag.levels(spark, n, e).collect()} == _brute_levels(nodes, edges)
+    start = spark.createDataFrame([(3,), (5002,), (-4 * rungs + 4,)], "node long")
+    want = {*range(3, size + 1), 5002, *(-4 * rungs + 4 - k for k in (0, 1, 2, 4))}
+    assert sorted(r["node"] for r in dag.reachable(spark, e, start).collect()) == sorted(want)
+
+
+def test_records_of_several_lines_and_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("﻿a,b\r\n\"1\r\n2\",3\r\na,b\r\n\r\n".encode())
+    (tmp_path / "b.csv").write_text('b,a,c\n"x ""y"", z",1,"\n\n"\n,"",w\U0010fffdm\U0010fffc\n')
+    got = delimited.read_delimited(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], ",")
+    assert got.columns == ["a", "b", "c"]
+    assert sorted(map(tuple, got.collect())) == sorted([("1\r\n2", "3", ""), ("a", "b", ""), ("1", 'x "y", z', "\n\n"), ("", "", "w\U0010fffdm\U0010fffc")])
+    (tmp_path / "c.csv").write_bytes(b"p;q\r1;2\r3;4\r")
+    assert sorted(map(tuple, delimited.read_delimited(spark, str(tmp_path / "c.csv")).collect())) == [("1", "2"), ("3", "4")]
+
+
+def test_quoted_breaks_over_many_splits(spark, tmp_path):
+    import csv
+    import random
+
+    rng = random.Random(7)
+    rows = [[str(i), rng.choice(["plain", 'say "hi"', "line\nbreak", "a,b", "\n" * 5 + '"' * 4, "x" * 300])] for i in range(3000)]
+    with open(tmp_path / "t.csv", "w", newline="") as f:
+        csv.writer(f, lineterminator="\n").writerows([["id", "v"], *rows])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = delimited.read_delimited(spark, str(tmp_path / "t.csv"), ",")
+        assert delimited.text_records(spark, str(tmp_path / "t.csv")).select("block").distinct().count() > 3
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_very_wide_and_very_long_records(spark, tmp_path):
+    cells = [f"c{i}" for i in range(100_000)]
+    line = ",".join(f'"{c}"' for c in cells)
+    df = spark.createDataFrame([(line,), ('"' + 'x""' * 47_000 + '"',)], "v string").select(delimited.parse_cells(F.col("v"), ",").alias("c"))
+    wide, long = sorted((r["c"] for r in df.collect()), key=len, reverse=True)
+    assert wide == cells and long == ['x"' * 47_000]
