@@ -208,7 +208,16 @@ def _bucket(s, d):
     return token_bucket(_events(s, d).select("user_id", "event_id", F.unix_micros("ts").alias("t")), "user_id", "event_id", "t", capacity=3.0, per_second=3.0 / 86400)
 
 
-add("i19_token_bucket", _bucket)
+add(
+    "i19_token_bucket",
+    _bucket,
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+       r(user_id, event_id, t, i, had) AS (
+         SELECT user_id, event_id, t, i, 3.0::DOUBLE FROM e WHERE i = 1
+         UNION ALL
+         SELECT e.user_id, e.event_id, e.t, e.i, least(3.0::DOUBLE, r.had - (r.had >= 1)::INT + (e.t - r.t) / 1e6::DOUBLE * (3.0::DOUBLE / 86400)) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+       SELECT event_id, had >= 1 AS admitted FROM r""",
+)
 add(
     "i20_presence",
     lambda s, d: _events(s, d).groupBy("user_id").agg(F.max("ts").alias("beat")).withColumn("live", F.col("beat") > F.lit("2024-01-29").cast("timestamp")),

@@ -188,7 +188,15 @@ add(
         round((l_extendedprice - l_quantity) / 5, 6) AS sln, round((l_extendedprice - l_quantity) * 4 * 2 / 30, 6) AS syd, round(l_extendedprice * 2 / 5 * (1 - 2 / 5), 6) AS ddb,
         round(power(1 + (l_tax + 0.01) / 12, 12) - 1, 10) AS effect, round(power(l_extendedprice / l_quantity, 1 / {N}) - 1, 10) AS rri FROM lineitem""",
 )
-add("h26_rates", lambda s, d: _line(s, d, F.round(finance.irr(F.array(-p, p * 0.3, p * 0.4, p * 0.5, q)), 8).alias("irr"), F.round(finance.rate(F.lit(60.0), -p / 50, p), 8).alias("rate")))
+_HALVED = "list_reduce(range(50), lambda a, i: CASE WHEN {0} THEN {{'x': (a.x + a.y) / 2, 'y': a.y}} ELSE {{'x': a.x, 'y': (a.x + a.y) / 2}} END, {{'x': {1}::DOUBLE, 'y': {2}::DOUBLE}})"
+_WORTH = "-p + p * 0.3 * power(1 + (a.x + a.y) / 2, -1) + p * 0.4 * power(1 + (a.x + a.y) / 2, -2) + p * 0.5 * power(1 + (a.x + a.y) / 2, -3) + q * power(1 + (a.x + a.y) / 2, -4) > 0"
+_OWED = "power(1 + (a.x + a.y) / 2, 60) - (power(1 + (a.x + a.y) / 2, 60) - 1) / (25 * (a.x + a.y)) < 0"
+add(
+    "h26_rates",
+    lambda s, d: _line(s, d, F.round(finance.irr(F.array(-p, p * 0.3, p * 0.4, p * 0.5, q)), 8).alias("irr"), F.round(finance.rate(F.lit(60.0), -p / 50, p), 8).alias("rate")),
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS p, l_quantity AS q FROM lineitem), r AS (SELECT {_HALVED.format(_OWED, "1e-6", "1")} AS z)
+        SELECT l_orderkey, l_linenumber, round(({_HALVED.format(_WORTH, "-0.99", "10")}).x, 8) AS irr, round(r.z.x, 8) AS rate FROM x, r""",
+)
 add(
     "h27_number_formats",
     lambda s, d: _line(s, d, F.concat(F.format_number(F.floor(p), 0), F.lit(".00")).alias("currency"), F.concat((disc * 100).cast("decimal(9,0)"), F.lit("%")).alias("percent"), F.date_format(datesx.from_serial(datesx.serial(ship)), "yyyy-MM-dd").alias("day")),

@@ -95,7 +95,20 @@ add(
               WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
         SELECT o_orderkey, n AS points, round(exp(c), 9) AS centre, CASE WHEN n >= 5 THEN round(exp(c - {series.T99!r}[n - 1] * sd * sqrt(1 + 1 / n)), 9) END AS lower FROM h""",
 )
-add("e09_step_restart", lambda s, d: series.since_last_step(_ratios(s, d), "o_custkey", "o_orderkey", "ratio"))
+add(
+    "e09_step_restart",
+    lambda s, d: series.since_last_step(_ratios(s, d), "o_custkey", "o_orderkey", "ratio"),
+    f"""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice / 100000 + 0.5 AS ratio, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+        r(o_custkey, i, keys, logs) AS (
+          SELECT o_custkey, 1::BIGINT, [o_orderkey], [ln(ratio)] FROM o WHERE i = 1
+          UNION ALL
+          SELECT o_custkey, n, CASE WHEN up THEN [k] ELSE list_append(keys, k)[-10:] END, CASE WHEN up THEN [x] ELSE list_append(logs, x)[-10:] END
+          FROM (SELECT r.o_custkey, o.i AS n, o.o_orderkey AS k, ln(o.ratio) AS x, keys, logs,
+                       ln(o.ratio) > list_avg(logs) + ln(1.6) OR (len(logs) >= 5 AND ln(o.ratio) > list_avg(logs) + {series.T99!r}[len(logs) - 1] * greatest(list_stddev_samp(logs), 0.05) * sqrt(1 + 1 / len(logs))) AS up
+                FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1)),
+        l AS (SELECT o_custkey, unnest(keys) AS o_orderkey FROM r QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY i DESC) = 1)
+        SELECT o_custkey, o_orderkey, ratio FROM l JOIN o USING (o_custkey, o_orderkey)""",
+)
 add(
     "e10_history_floor",
     lambda s, d: series.history_floor(_ratios(s, d), ["o_custkey"], "o_orderkey", "ratio").select("o_orderkey", "floor"),

@@ -53,6 +53,17 @@ def guess_line_break(sample: str) -> str:
     return best if counts[best] else "\n"
 
 
+def line_break_of(text: Column) -> Column:
+    """The same of a column, as a name: crlf, lf, cr, or none where the text has no break outside quotes."""
+    pieces = F.split(F.substring(text, 1, SAMPLE_CHARS), '"', -1)
+    bare = F.array_join(F.filter(pieces, lambda _, i: i % 2 == 0), "")
+    times = lambda s: F.char_length(bare) - F.char_length(F.replace(bare, F.lit(s), F.lit("")))
+    crlf = (times("\r\n") / 2).cast("int")
+    ranked = F.array(F.struct(crlf.alias("n"), F.lit(3).alias("o"), F.lit("crlf").alias("k")), F.struct((times("\n") - crlf).alias("n"), F.lit(2).alias("o"), F.lit("lf").alias("k")), F.struct((times("\r") - crlf).alias("n"), F.lit(1).alias("o"), F.lit("cr").alias("k")))
+    best = F.array_max(ranked)
+    return F.when(best.n > 0, best.k).otherwise(F.lit("none"))
+
+
 def table_of(rows: list[list[str]]) -> tuple[list[str], list[list[str]], int]:
     """(names, rows, ragged): the table of parsed records, its first one the header, evened out."""
     if not rows:
@@ -182,9 +193,15 @@ def format_lines(df: DataFrame, delimiter: str = ",", escape_formulas: bool = Tr
     return df.select(F.concat_ws(delimiter, *cells).alias("value"))
 
 
-def write_delimited(df: DataFrame, path: str, delimiter: str = ",", escape_formulas: bool = True) -> None:
-    """Formatted lines as text files. CRLF stands between records, as each line but the last of a part ends in CR LF."""
-    format_lines(df, delimiter, escape_formulas).write.option("lineSep", "\r\n").text(path)
+def write_delimited(df: DataFrame, path: str, delimiter: str = ",", escape_formulas: bool = True, names: list[str] | None = None) -> None:
+    """Formatted lines as text files, with CRLF after each record. With names, each file begins with them as its header."""
+    lines = format_lines(df, delimiter, escape_formulas)
+    if names is not None:
+        head = format_lines(df.sparkSession.createDataFrame([names], ", ".join(f"c{i} string" for i in range(len(names)))), delimiter, False).collect()[0][0]
+        # the ids of a partition's rows count from 0 in their lower bits, so its first row is known
+        first = F.monotonically_increasing_id().bitwiseAND(2**33 - 1) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(head + "\r\n"), "value")).otherwise(F.col("value")).alias("value"))
+    lines.write.option("lineSep", "\r\n").text(path)
 
 
 def jsonl_to_delimited(df: DataFrame, text: str, names: list[str], delimiter: str = ",") -> DataFrame:
