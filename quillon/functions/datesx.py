@@ -48,12 +48,38 @@ def networkdays(start: Column, end: Column) -> Column:
     return (upto(end) - upto(F.date_sub(start, 1))).cast("int")
 
 
+def networkdays_intl(start: Column, end: Column, off: str = "0000011") -> Column:
+    """Days that are not off, both ends included, negative if end is before start. off has a 1 for each day off, from
+    Monday. Whole weeks count alike; only the days of the last one are looked at."""
+    each = off.count("0")
+    low, high = F.least(start, end), F.greatest(start, end)
+    days = F.datediff(high, low) + 1
+    rest = F.sequence(F.lit(0), F.lit(6))
+    left = F.aggregate(rest, F.lit(0), lambda a, i: a + F.when((i < days % 7) & ~_off(F.date_add(low, i), off), 1).otherwise(0))
+    count = F.floor(days / 7).cast("int") * each + left
+    return F.when(start <= end, count).otherwise(-count)
+
+
+def _off(d: Column, off: str) -> Column:
+    return F.array(*[F.lit(c == "1") for c in off])[F.weekday(d)]
+
+
+def workday_intl(start: Column, days: int, off: str = "0000011") -> Column:
+    """The date `days` days that are not off after start, or before it if days is negative; null if all are off."""
+    each, sign, n = off.count("0"), 1 if days > 0 else -1, abs(days)
+    if not each:
+        return F.lit(None).cast("date")
+    if not n:
+        return start
+    weeks = (n - 1) // each
+    base = F.date_add(start, sign * 7 * weeks)
+    ahead = F.filter(F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.date_add(base, sign * i)), lambda d: ~_off(d, off))
+    return F.get(ahead, F.lit(n - weeks * each - 1))
+
+
 def workday(start: Column, days: int) -> Column:
-    """The date `days` working days after start; days is not negative."""
-    # from the weekend count as from the Friday before
-    base = F.when(F.weekday(start) >= 5, F.date_sub(start, F.weekday(start) - 4)).otherwise(start)
-    ahead = F.weekday(base) + days
-    return F.date_add(base, (F.floor(ahead / 5) * 7 + ahead % 5 - F.weekday(base)).cast("int"))
+    """The date `days` working days, Monday to Friday, after or before start."""
+    return workday_intl(start, days)
 
 
 def datedif(start: Column, end: Column, unit: str) -> Column:

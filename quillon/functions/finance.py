@@ -57,14 +57,43 @@ def syd(cost: Column, salvage: Column, life: Column, period: Column) -> Column:
     return (cost - salvage) * (life - period + 1) * 2 / (life * (life + 1))
 
 
-def ddb(cost: Column, life: Column, period: Column, factor: float = 2.0) -> Column:
-    """Double declining balance, without a salvage floor."""
-    return cost * F.lit(factor) / life * F.pow(1 - F.lit(factor) / life, period - 1)
+def ddb(cost: Column, salvage: Column, life: Column, period: Column, factor: float = 2.0) -> Column:
+    """Double declining balance; the book value does not fall below the salvage."""
+    book = cost * F.pow(F.greatest(1 - F.lit(factor) / life, F.lit(0.0)), period - 1)
+    return F.greatest(F.least(book * F.lit(factor) / life, book - salvage), F.lit(0.0))
 
 
-def db_first(cost: Column, salvage: Column, life: Column) -> Column:
-    """Fixed declining balance, first year: the rate has three digits."""
-    return cost * F.round(1 - F.pow(salvage / cost, 1 / life), 3)
+def db(cost: Column, salvage: Column, life: Column, period: Column, months: int = 12) -> Column:
+    """Fixed declining balance of any year: the rate has three digits, and the first year `months` months."""
+    rate = F.round(1 - F.pow(salvage / cost, 1 / life), 3)
+    first = cost * rate * (months / 12)
+    book = (cost - first) * F.pow(1 - rate, period - 2)
+    return F.when(period == 1, first).when(period <= life, book * rate).when(period == life + 1, book * rate * ((12 - months) / 12))
+
+
+def _over(start: Column, end: Column, part) -> Column:
+    """The sum of a part over the periods from start to end."""
+    return F.aggregate(F.sequence(start.cast("int"), end.cast("int")), F.lit(0.0), lambda a, k: a + part(k))
+
+
+def cumipmt(rate: Column, n: Column, pv: Column, start: Column, end: Column) -> Column:
+    return _over(start, end, lambda k: ipmt(rate, k, n, pv))
+
+
+def cumprinc(rate: Column, n: Column, pv: Column, start: Column, end: Column) -> Column:
+    return _over(start, end, lambda k: ppmt(rate, k, n, pv))
+
+
+def fvschedule(principal: Column, rates: Column) -> Column:
+    return F.aggregate(rates, principal.cast("double"), lambda a, r: a * (1 + r))
+
+
+def mirr(flows: Column, finance_rate: Column, reinvest_rate: Column) -> Column:
+    """The rate at which the outflows, financed, grow to the inflows, reinvested; null without both."""
+    n = F.size(flows)
+    worth = F.aggregate(F.transform(flows, lambda x, i: F.greatest(x, F.lit(0.0)) * _growth(reinvest_rate, n - 1 - i)), F.lit(0.0), lambda a, x: a + x)
+    spent = F.aggregate(F.transform(flows, lambda x, i: F.greatest(-x, F.lit(0.0)) / _growth(finance_rate, i)), F.lit(0.0), lambda a, x: a + x)
+    return F.when((worth > 0) & (spent > 0), F.pow(worth / spent, F.lit(1.0) / (n - 1)) - 1)
 
 
 def effect(nominal: Column, n: Column) -> Column:

@@ -44,6 +44,16 @@ def overlap(df: DataFrame, key: str, reference: str, hypothesis: str) -> DataFra
     return counts.groupBy(key).agg(F.sum("r").alias("ref"), F.sum("h").alias("hyp"), F.sum(F.least("r", "h")).alias("common"))
 
 
+def item_scores(df: DataFrame, key: str, truth: str, candidate: str) -> DataFrame:
+    """(key, kind, truth, candidate, precision, recall) of two multisets of items `kind|...`, by kind, as far as either
+    side has any; from counts per item."""
+    side = lambda c, a, b: df.select(key, F.explode(c).alias("item"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+    counts = side(truth, 1, 0).unionByName(side(candidate, 0, 1)).groupBy(key, "item").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    kinds = counts.groupBy(key, F.substring_index("item", "|", 1).alias("kind")).agg(F.sum("a").alias("truth"), F.sum("b").alias("candidate"), F.sum(F.least("a", "b")).alias("common"))
+    share = lambda n: F.coalesce(F.try_divide("common", n), F.lit(0.0))
+    return kinds.select(key, "kind", "truth", "candidate", share("candidate").alias("precision"), share("truth").alias("recall"))
+
+
 def f1(common: Column, ref: Column, hyp: Column) -> Column:
     return F.when(common == 0, F.lit(0.0)).otherwise(2 * common / (ref + hyp))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, textx
 from ..functions.criteria import criterion
-from ..operators import intervals, measures
+from ..operators import intervals, measures, sheets
 from ..session import table
 from .registry import Registry
 
@@ -43,16 +43,32 @@ add(
     """SELECT o_orderkey AS "o.key", o_orderstatus AS "o.meta.status", '["' || o_orderpriority || '","' || o_orderstatus || '"]' AS tags FROM orders""",
 )
 
+def _book(s, d):
+    """Two sheets of a book, in order."""
+    return table(s, d, "region").select(F.lit(0).alias("ordinal"), F.lit("regions").alias("sheet"), F.col("r_name").alias("cell")).unionAll(table(s, d, "nation").select(F.lit(1), F.lit("nations"), "n_name"))
+
+
+def _cell():
+    """A number, a text or a truth value, in turn."""
+    kind = F.element_at(F.array(F.lit("number"), F.lit("text"), F.lit("boolean")), F.col("n_nationkey") % 3 + 1)
+    value = F.when(kind == "number", F.col("n_nationkey").cast("string")).when(kind == "text", F.lower("n_name")).otherwise(F.lit("TRUE"))
+    return F.struct(kind.alias("kind"), value.alias("value"))
+
+
 add(
     "b03_range_projection",
-    lambda s, d: table(s, d, "customer").where(F.col("c_custkey").between(11, 60)).select("c_custkey", "c_name", "c_nationkey"),
-    "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey BETWEEN 11 AND 60",
+    lambda s, d: sheets.project(table(s, d, "customer"), "c_custkey", "B12:D61,A1:A3"),
+    """SELECT c_name, c_nationkey, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) AS r FROM customer) WHERE r BETWEEN 12 AND 61""",
 )
 
 add(
     "b04_sheet_selection",
-    lambda s, d: table(s, d, "region").select(F.lit(0).alias("sheet"), F.col("r_name").alias("cell")).unionAll(table(s, d, "nation").select(F.lit(1).alias("sheet"), F.col("n_name").alias("cell"))).where("sheet = 1"),
-    "SELECT 1 AS sheet, n_name AS cell FROM nation",
+    lambda s, d: sheets.select_sheets(_book(s, d), "index", 1).select(F.lit("index").alias("mode"), "sheet", "cell")
+    .unionByName(sheets.select_sheets(_book(s, d), "merged").select(F.lit("merged").alias("mode"), "sheet", "cell"))
+    .unionByName(sheets.select_sheets(_book(s, d), "split").select(F.lit("split").alias("mode"), F.col("file").alias("sheet"), "cell")),
+    """WITH b AS (SELECT 'regions' AS sheet, r_name AS cell FROM region UNION ALL SELECT 'nations', n_name FROM nation)
+       SELECT 'index' AS mode, sheet, cell FROM b WHERE sheet = 'nations' UNION ALL SELECT 'merged', sheet, cell FROM b
+       UNION ALL SELECT 'split', CASE sheet WHEN 'regions' THEN '1-regions' ELSE '2-nations' END, cell FROM b""",
 )
 
 
@@ -79,9 +95,12 @@ add(
         (F.upper("n_name") == F.upper(F.lower("n_name"))).alias("same_case"),
         (F.upper("n_name") > F.upper(F.lit("germany"))).alias("after"),
         (F.coalesce(F.nullif(F.col("n_regionkey"), F.lit(2)), F.lit(0)) == 0).alias("blank_is_zero"),
+        (sheets.ranked(_cell()) > sheets.ranked(F.struct(F.lit("number").alias("kind"), F.lit("7").alias("value")))).alias("above_seven"),
+        (sheets.ranked(_cell()) == sheets.ranked(F.struct(F.lit("text").alias("kind"), F.lit("CHINA").alias("value")))).alias("is_china"),
     ),
     """SELECT n_nationkey, upper(n_name) = upper(lower(n_name)) AS same_case, upper(n_name) > 'GERMANY' AS after,
-       coalesce(nullif(n_regionkey, 2), 0) = 0 AS blank_is_zero FROM nation""",
+       coalesce(nullif(n_regionkey, 2), 0) = 0 AS blank_is_zero, CASE n_nationkey % 3 WHEN 0 THEN n_nationkey > 7 ELSE true END AS above_seven,
+       n_nationkey % 3 = 1 AND lower(n_name) = 'china' AS is_china FROM nation""",
 )
 
 add(
@@ -209,11 +228,11 @@ add(
 
 def _scrub(s, d):
     p = table(s, d, "pages")
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(" by a.b"), F.col("page_id"), F.lit("@mail.example.org  id 1234567890"), F.lit("\ttok abcdefghij0123456789xyz"))
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" by a.b"), F.col("page_id"), F.lit("@mail.example.org  in my.notes.docx id 1234567890"), F.lit("\ttok abcdefghij0123456789xyz"))
     return p.select("page_id", textx.scrub(text).alias("clean"))
 
 
-add("b20_scrub", _scrub, "SELECT page_id, 'see [url] by [email] id [n] tok [token]' AS clean FROM pages")
+add("b20_scrub", _scrub, "SELECT page_id, 'see [url] by [email] in [file] id [n] tok [token]' AS clean FROM pages")
 
 
 def _paths(s, d):

@@ -69,10 +69,11 @@ add(
 )
 add(
     "h07_combinatorics",
-    lambda s, d: table(s, d, "part").select("p_partkey", mathx.fact(F.col("p_size") % 11).alias("fact_"), mathx.gcd(F.col("p_size"), F.lit(36)).alias("gcd_"), mathx.lcm(F.col("p_size"), F.lit(6)).alias("lcm_"), mathx.combin(F.col("p_size") % 9 + 5, F.col("p_size") % 4).alias("combin"), mathx.permut(F.col("p_size") % 9 + 5, F.col("p_size") % 4).alias("permut"), F.pow(F.col("p_size"), F.lit(3)).alias("permutationa")),
+    lambda s, d: table(s, d, "part").select("p_partkey", mathx.fact(F.col("p_size") % 11).alias("fact_"), mathx.gcd(F.col("p_size"), F.lit(36)).alias("gcd_"), mathx.lcm(F.col("p_size"), F.lit(6)).alias("lcm_"), mathx.combin(F.col("p_size") % 9 + 5, F.col("p_size") % 4).alias("combin"), mathx.permut(F.col("p_size") % 9 + 5, F.col("p_size") % 4).alias("permut"), F.pow(F.col("p_size"), F.lit(3)).alias("permutationa"), mathx.multinomial(F.col("p_size") % 4, F.col("p_size") % 3 + 1, F.lit(2)).alias("multinomial"), mathx.factdouble(F.col("p_size") % 8).alias("factdouble")),
     """SELECT p_partkey, factorial((p_size % 11)::INT)::DOUBLE AS fact_, gcd(p_size, 36)::BIGINT AS gcd_, lcm(p_size, 6)::BIGINT AS lcm_,
        (factorial((p_size % 9 + 5)::INT) / factorial((p_size % 4)::INT) / factorial((p_size % 9 + 5 - p_size % 4)::INT))::DOUBLE AS combin,
-       (factorial((p_size % 9 + 5)::INT) / factorial((p_size % 9 + 5 - p_size % 4)::INT))::DOUBLE AS permut, power(p_size, 3) AS permutationa FROM part""",
+       (factorial((p_size % 9 + 5)::INT) / factorial((p_size % 9 + 5 - p_size % 4)::INT))::DOUBLE AS permut, power(p_size, 3) AS permutationa,
+       (factorial((p_size % 4 + p_size % 3 + 3)::INT) / factorial((p_size % 4)::INT) / factorial((p_size % 3 + 1)::INT) / 2)::DOUBLE AS multinomial, [1, 1, 2, 3, 8, 15, 48, 105][p_size % 8 + 1]::DOUBLE AS factdouble FROM part""",
 )
 add(
     "h08_trigonometry",
@@ -111,9 +112,10 @@ add(
 )
 add(
     "h15_formats",
-    lambda s, d: _line(s, d, F.replace(F.format_number(F.round(p, 2), 2), F.lit(","), F.lit("")).alias("fixed"), F.format_number(F.floor(p), 0).alias("grouped"), F.concat(F.round(disc * 100, 0).cast("int"), F.lit("%")).alias("percent"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("iso")),
+    lambda s, d: _line(s, d, F.replace(F.format_number(F.round(p, 2), 2), F.lit(","), F.lit("")).alias("fixed"), F.format_number(F.floor(p), 0).alias("grouped"), F.concat(F.round(disc * 100, 0).cast("int"), F.lit("%")).alias("percent"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("iso"), textx.dollar(signed * 1000.25).alias("dollar")),
     """SELECT l_orderkey, l_linenumber, printf('%.2f', round(l_extendedprice, 2)) AS fixed, format('{:,}', floor(l_extendedprice)::BIGINT) AS grouped,
-       round(l_discount * 100, 0)::INT || '%' AS percent, strftime(l_shipdate, '%Y-%m-%d') AS iso FROM lineitem""",
+       round(l_discount * 100, 0)::INT || '%' AS percent, strftime(l_shipdate, '%Y-%m-%d') AS iso,
+       CASE WHEN l_quantity < 25.5 THEN '(' ELSE '' END || '$' || format('{:,}', floor(abs(l_quantity - 25.5) * 1000.25)::BIGINT) || printf('%.2f', round(abs(l_quantity - 25.5) * 1000.25, 2))[-3:] || CASE WHEN l_quantity < 25.5 THEN ')' ELSE '' END AS dollar FROM lineitem""",
 )
 add(
     "h16_numbervalue",
@@ -156,10 +158,12 @@ add(
 )
 add(
     "h22_working_days",
-    lambda s, d: _line(s, d, datesx.networkdays(ship, F.date_add(ship, (q * 1).cast("int"))).alias("networkdays"), datesx.workday(ship, 7).alias("workday")),
+    lambda s, d: _line(s, d, datesx.networkdays(ship, F.date_add(ship, (q * 1).cast("int"))).alias("networkdays"), datesx.workday(ship, 7).alias("workday"), datesx.workday(ship, -7).alias("before"), datesx.workday_intl(ship, -4, "1010100").alias("intl"), datesx.networkdays_intl(F.date_add(ship, (q * 1).cast("int")), ship, "1010100").alias("netintl")),
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS a, l_shipdate::DATE + l_quantity::INT AS b FROM lineitem)
        SELECT l_orderkey, l_linenumber, len(list_filter(generate_series(a, b, INTERVAL 1 DAY), lambda z: isodow(z) < 6))::INT AS networkdays,
-              (list_filter(generate_series(a + 1, a + 20, INTERVAL 1 DAY), lambda z: isodow(z) < 6)[7])::DATE AS workday FROM x""",
+              (list_filter(generate_series(a + 1, a + 20, INTERVAL 1 DAY),  lambda z: isodow(z) < 6)[7])::DATE AS workday,
+              (list_filter(generate_series(a - 1, a - 20, to_days(-1)), lambda z: isodow(z) < 6)[7])::DATE AS before, (list_filter(generate_series(a - 1, a - 20, to_days(-1)), lambda z: isodow(z) NOT IN (1, 3, 5))[4])::DATE AS intl,
+              CASE WHEN b > a THEN -1 ELSE 1 END * len(list_filter(generate_series(a, b, INTERVAL 1 DAY), lambda z: isodow(z) NOT IN (1, 3, 5)))::INT AS netintl FROM x""",
 )
 add(
     "h23_date_differences",
@@ -180,7 +184,7 @@ add(
     lambda s, d: _line(
         s, d, F.round(finance.pmt(rate, n, pv), 6).alias("pmt"), F.round(finance.fv(rate, n, -q), 6).alias("fv"), F.round(finance.pv(rate, n, -q), 6).alias("pv"), F.round(finance.npv(rate, [q, p, q]), 6).alias("npv"),
         F.round(finance.nper(rate, -pv / 6, pv), 6).alias("nper"), F.round(finance.ipmt(rate, F.lit(1), n, pv), 6).alias("ipmt"), F.round(finance.ppmt(rate, F.lit(1), n, pv), 6).alias("ppmt"),
-        F.round(finance.sln(p, q, F.lit(5)), 6).alias("sln"), F.round(finance.syd(p, q, F.lit(5), F.lit(2)), 6).alias("syd"), F.round(finance.ddb(p, F.lit(5), F.lit(2)), 6).alias("ddb"), F.round(finance.effect(t + 0.01, F.lit(12)), 10).alias("effect"), F.round(finance.rri(n, q, p), 10).alias("rri"),
+        F.round(finance.sln(p, q, F.lit(5)), 6).alias("sln"), F.round(finance.syd(p, q, F.lit(5), F.lit(2)), 6).alias("syd"), F.round(finance.ddb(p, q, F.lit(5), F.lit(2)), 6).alias("ddb"), F.round(finance.effect(t + 0.01, F.lit(12)), 10).alias("effect"), F.round(finance.rri(n, q, p), 10).alias("rri"),
     ),
     f"""SELECT l_orderkey, l_linenumber, round({PMT}, 6) AS pmt, round(l_quantity * (power(1 + {R}, {N}) - 1) / {R}, 6) AS fv, round(l_quantity * (1 - power(1 + {R}, -{N})) / {R}, 6) AS pv,
         round(l_quantity / (1 + {R}) + l_extendedprice / power(1 + {R}, 2) + l_quantity / power(1 + {R}, 3), 6) AS npv,
@@ -199,8 +203,8 @@ add(
 )
 add(
     "h27_number_formats",
-    lambda s, d: _line(s, d, F.concat(F.format_number(F.floor(p), 0), F.lit(".00")).alias("currency"), F.concat((disc * 100).cast("decimal(9,0)"), F.lit("%")).alias("percent"), F.date_format(datesx.from_serial(datesx.serial(ship)), "yyyy-MM-dd").alias("day")),
-    "SELECT l_orderkey, l_linenumber, format('{:,}', floor(l_extendedprice)::BIGINT) || '.00' AS currency, round(l_discount * 100)::INT || '%' AS percent, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem",
+    lambda s, d: _line(s, d, F.format_number(p, 2).alias("currency"), F.concat((disc * 100).cast("decimal(9,0)"), F.lit("%")).alias("percent"), F.date_format(datesx.from_serial(datesx.serial(ship)), "yyyy-MM-dd").alias("day")),
+    "SELECT l_orderkey, l_linenumber, format('{:,}', floor(round(l_extendedprice, 2))::BIGINT) || printf('%.2f', round(l_extendedprice, 2))[-3:] AS currency, round(l_discount * 100)::INT || '%' AS percent, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem",
 )
 _CELLS = ["=SUM(A1)", "-5", "+1.5e3", "-566,000", "-a", 'say "hi"', "a,b", " x", "plain", "@x", "", "-48 + 21"]
 _WANT = ['"\'=SUM(A1)"', "-5", "+1.5e3", '"-566,000"', '"\'-a"', '"say ""hi"""', '"a,b"', '" x"', "plain", '"\'@x"', "", '"\'-48 + 21"']
@@ -227,8 +231,8 @@ add(
 )
 add(
     "h32_entities",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))).alias("escaped")),
-    "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("e")).select("doc_id", F.md5("e").alias("escaped"), F.md5(textx.decoded(F.concat("e", F.lit("&#233;&#x2603;&copy;")))).alias("decoded")),
+    "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped, md5(text || 'é☃©') AS decoded FROM documents",
 )
 add(
     "h33_language_tags",
@@ -237,7 +241,7 @@ add(
 )
 add(
     "h34_spaces",
-    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("collapsed")),
+    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.trim(F.regexp_replace(textx.nfkc(F.translate("text", "abc1", "ａｂｃ①")), r"\s+", " "))).alias("collapsed")),
     r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS collapsed FROM documents",
 )
 add(
@@ -247,8 +251,8 @@ add(
 )
 add(
     "h36_slug_pairs",
-    lambda s, d: table(s, d, "nation").select("n_nationkey", F.regexp_extract(F.concat(F.lower("n_name"), F.lit("-to-pdf")), "^(.+)-to-([a-z0-9]+)$", 1).alias("source"), F.lit("pdf").alias("target")),
-    "SELECT n_nationkey, lower(n_name) AS source, 'pdf' AS target FROM nation",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", textx.slug_pair(F.concat(F.lower("n_name"), F.lit("-to-"), F.element_at(F.array(*map(F.lit, ("pdf", "docx", "a-to-b", "png"))), F.col("n_nationkey") % 4 + 1))).alias("p")).select("n_nationkey", "p.source", "p.target"),
+    "SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 2 THEN lower(n_name) END AS source, ['pdf', 'docx', NULL, 'png'][n_nationkey % 4 + 1] AS target FROM nation",
 )
 add(
     "h37_money",
@@ -272,14 +276,19 @@ add(
 )
 
 
-def _cidr(s, d):
-    e = table(s, d, "events").select("event_id", F.array(F.lit(10), F.col("user_id") % 256, F.col("event_id") % 256, F.lit(7)).alias("o"))
-    ip = F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-    net = 10 * 2**24 + 16 * 2**16
-    return e.select("event_id", (F.shiftright(ip, 12) == net >> 12).alias("inside"))
+def _allowed(s, d):
+    """Addresses as text against entries as text: networks of several sizes, single addresses, wild parts, and what is none."""
+    e = table(s, d, "events").select("event_id", F.concat_ws(".", F.lit("10"), F.col("user_id") % 256, F.col("event_id") % 256, F.lit("7")).alias("ip"))
+    entries = {"net8": "10.0.0.0/8", "net20": "10.16.0.0/20", "net9": "10.128.0.0/9", "one": "10.16.16.7", "wild": "10.*.3.*", "all": "0.0.0.0/0", "bad": "10.16.0.0/40"}
+    return e.select("event_id", *[textx.on_allow_list(F.col("ip"), F.lit(x)).alias(k) for k, x in entries.items()], textx.on_allow_list(F.concat("ip", F.lit(".9")), F.lit("10.0.0.0/8")).alias("five"))
 
 
-add("h42_cidr", _cidr, "SELECT event_id, user_id % 256 = 16 AND event_id % 256 < 16 AS inside FROM events")
+add(
+    "h42_cidr",
+    _allowed,
+    """WITH e AS (SELECT event_id, user_id % 256 AS b, event_id % 256 AS c FROM events)
+       SELECT event_id, true AS net8, b = 16 AND c < 16 AS net20, b >= 128 AS net9, b = 16 AND c = 16 AS one, c = 3 AS wild, true AS all, false AS bad, false AS five FROM e""".replace("AS all,", 'AS "all",'),
+)
 add(
     "h43_rate_limit_headers",
     lambda s, d: table(s, d, "customer").select("c_custkey", F.concat(F.lit("limit="), F.greatest(F.lit(0), F.lit(100) + F.col("c_custkey") % 50), F.lit(", remaining="), F.greatest(F.lit(0), F.floor(F.col("c_acctbal") / 100)), F.lit(", reset="), F.ceil(F.lit(86400) - F.col("c_custkey") * 1.5)).alias("ratelimit"), F.when(F.col("c_acctbal") < 100, F.greatest(F.lit(1), F.ceil(F.lit(86400) - F.col("c_custkey") * 1.5))).alias("retry_after")),
@@ -300,8 +309,8 @@ def roman(n):
 
 add(
     "h44_counters",
-    lambda s, d: table(s, d, "part").select("p_partkey", roman(F.col("p_size")).alias("roman"), F.chr(F.lit(97) + F.col("p_size") % 26).alias("letter")),
-    """SELECT p_partkey, ['','X','XX','XXX','XL','L'][p_size // 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][p_size % 10 + 1] AS roman, chr((97 + p_size % 26)::INT) AS letter FROM part""",
+    lambda s, d: table(s, d, "part").select("p_partkey", roman(F.col("p_size")).alias("roman"), textx.letters(F.col("p_size") * 14).alias("letter")),
+    """SELECT p_partkey, ['','X','XX','XXX','XL','L'][p_size // 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][p_size % 10 + 1] AS roman, CASE WHEN p_size * 14 > 26 THEN chr((96 + (p_size * 14 - 1) // 26)::INT) ELSE '' END || chr((97 + (p_size * 14 - 1) % 26)::INT) AS letter FROM part""",
 )
 add(
     "h45_decibels",
@@ -417,3 +426,31 @@ add(
                round(exp({_CHOOSE.format("k + 39", "k")} + 40 * ln(0.1) + k * ln(0.9)), 10) AS negbinom, round(exp({_CHOOSE.format(900, "k")} + {_CHOOSE.format(1100, "700 - k")} - {_CHOOSE.format(2000, 700)}), 10) AS hypgeom,
                1.0::DOUBLE AS sure FROM x""",
 )
+
+
+def _schedules(s, d):
+    rates = F.array(t / 10, disc / 10, F.lit(0.03))
+    flows = F.array(-p, p * 0.3, -q, p * 0.5, p * 0.4)
+    months = F.col("l_linenumber") + 3
+    return _line(
+        s, d, F.round(finance.cumipmt(rate, n, pv, F.lit(2), months), 4).alias("cumipmt"), F.round(finance.cumprinc(rate, n, pv, F.lit(2), months), 4).alias("cumprinc"), F.round(finance.fvschedule(p, rates), 4).alias("fvschedule"),
+        F.round(finance.mirr(flows, F.lit(0.1), F.lit(0.12)), 9).alias("mirr"), F.round(finance.db(p, q, F.lit(6), F.lit(1), 7), 4).alias("db1"), F.round(finance.db(p, q, F.lit(6), F.lit(3), 7), 4).alias("db3"), F.round(finance.db(p, q, F.lit(6), F.lit(7), 7), 4).alias("db7"),
+        F.round(finance.ddb(p, p * 0.2, F.lit(5), F.lit(4)), 4).alias("ddb_floor"), F.round(finance.nominal(t + 0.01, F.lit(4)), 10).alias("nominal"), F.round(finance.ispmt(rate, F.lit(3), n, pv), 6).alias("ispmt"),
+    )
+
+
+_RATE_DB = "round(1 - power(l_quantity / l_extendedprice, 1 / 6), 3)"
+# what is owed before the k-th payment, and the interest on it, summed up
+_OWES = f"(l_extendedprice * power(1 + {R}, k - 1) + {PMT} * (power(1 + {R}, k - 1) - 1) / {R})"
+add(
+    "h25_schedules",
+    _schedules,
+    f"""WITH x AS (SELECT *, (SELECT 0) AS z FROM lineitem)
+        SELECT l_orderkey, l_linenumber, round(list_sum(list_transform(range(2, l_linenumber + 4), lambda k: -{_OWES} * {R})), 4) AS cumipmt,
+               round(list_sum(list_transform(range(2, l_linenumber + 4), lambda k: {PMT} + {_OWES} * {R})), 4) AS cumprinc,
+               round(l_extendedprice * (1 + l_tax / 10) * (1 + l_discount / 10) * 1.03, 4) AS fvschedule,
+               round(power((l_extendedprice * 0.3 * power(1.12, 3) + l_extendedprice * 0.5 * 1.12 + l_extendedprice * 0.4) / (l_extendedprice + l_quantity / power(1.1, 2)), 0.25) - 1, 9) AS mirr,
+               round(l_extendedprice * {_RATE_DB} * 7 / 12, 4) AS db1, round((l_extendedprice - l_extendedprice * {_RATE_DB} * 7 / 12) * (1 - {_RATE_DB}) * {_RATE_DB}, 4) AS db3,
+               round((l_extendedprice - l_extendedprice * {_RATE_DB} * 7 / 12) * power(1 - {_RATE_DB}, 5) * {_RATE_DB} * 5 / 12, 4) AS db7,
+               round(l_extendedprice * greatest(0, power(0.6, 3) - 0.2), 4) AS ddb_floor, round(4 * (power(1.01 + l_tax, 0.25) - 1), 10) AS nominal, round(l_extendedprice * {R} * (3 / {N} - 1), 6) AS ispmt FROM x""",
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import textx
 from ..operators import series, textscore
 from ..operators.lookup import global_row_number
 from ..session import table
@@ -53,11 +54,27 @@ add(
     "SELECT p_partkey, round(100 * levenshtein(p_name, substr(p_name, 1, 3) || p_type) / length(p_name), 6) AS cer FROM part",
 )
 
-_TAGS = {"headings": "<h[1-6][ >]", "items": "<li[ >]", "cells": "<t[dh][ >]", "images": "<img[ >]", "links": "<a[ >]", "paragraphs": "<p[ >]"}
+def _structure(s, d):
+    """Each page against itself with headings a level lower, a picture and a cell more, and list items without their stars."""
+    extra = F.lit('<img src="data:image/png;base64,aGVsbG8="><table><tr><td colspan=2>more</td></tr></table>')
+    changed = F.concat(F.regexp_replace(F.regexp_replace("html", "(?i)<(/?)h1>", "<$1h2>"), r"\*+</a></li>", "</a></li>"), extra)
+    pages = table(s, d, "pages").select("page_id", textx.structure_items(F.col("html")).alias("a"), textx.structure_items(changed).alias("b"))
+    return textscore.item_scores(pages, "page_id", "a", "b")
+
+
+_SQL_TEXT = r"trim(regexp_replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))"
+_SQL_ITEMS = """(SELECT page_id, 'heading' AS kind, x[3] || '|' || """ + _SQL_TEXT.format("x") + """ AS item FROM (SELECT page_id, unnest(regexp_extract_all({0}, '(?is)<h[1-6](?:[ ][^>]*)?>.*?</h[1-6]>')) AS x FROM p)
+  UNION ALL SELECT page_id, 'item', """ + _SQL_TEXT.format("x") + """ FROM (SELECT page_id, unnest(regexp_extract_all({0}, '(?is)<li(?:[ ][^>]*)?>.*?</li>')) AS x FROM p))"""
 add(
     "l07_structure",
-    lambda s, d: table(s, d, "pages").select("page_id", *[F.regexp_count("html", F.lit(p)).cast("long").alias(k) for k, p in _TAGS.items()]),
-    "SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '{p}'))::BIGINT AS {k}" for k, p in _TAGS.items()) + " FROM pages",
+    _structure,
+    f"""WITH p AS (SELECT page_id, h, regexp_replace(regexp_replace(h, '(?i)<(/?)h1>', '<\\1h2>', 'g'), '\\*+</a></li>', '</a></li>', 'g') AS c
+               FROM (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages)),
+        x AS (SELECT page_id, kind, item, count(*) AS a, 0 AS b FROM {_SQL_ITEMS.format("h")} GROUP BY ALL UNION ALL SELECT page_id, kind, item, 0, count(*) FROM {_SQL_ITEMS.format("c")} GROUP BY ALL),
+        y AS (SELECT page_id, kind, item, sum(a) AS a, sum(b) AS b FROM x GROUP BY ALL),
+        z AS (SELECT page_id, kind, sum(a)::BIGINT AS truth, sum(b)::BIGINT AS candidate, sum(least(a, b))::BIGINT AS common FROM y GROUP BY ALL
+              UNION ALL SELECT page_id, unnest(['cell', 'image']), 0, 1, 0 FROM pages)
+        SELECT page_id, kind, truth, candidate, CASE WHEN candidate > 0 THEN common / candidate ELSE 0 END AS precision, CASE WHEN truth > 0 THEN common / truth ELSE 0 END AS recall FROM z""",
 )
 
 
@@ -91,10 +108,14 @@ add(
     lambda s, d: table(s, d, "pages").select("page_id", F.md5(F.array_join(F.regexp_extract_all(html_text(F.col("html")), F.lit(_WORDS), F.lit(0)), " ")).alias("words")),
     f"SELECT page_id, md5(array_to_string(regexp_extract_all({_SQL_HTML}, '{_WORDS}'), ' ')) AS words FROM pages",
 )
+_UNSEEN = "|".join(f"<{x}(?:[ >/][^>]*)?>.*?(?:</{x}[^>]*>|$)" for x in textx.UNSEEN)
+_SQL_SEEN = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?(?:-->|$)|{_UNSEEN}', '', 'g'), '(?i)</?(?:{'|'.join(textx.BREAKING)})(?:[ /][^>]*)?>', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+    _SQL_SEEN = f"replace({_SQL_SEEN}, '{_entity}', '{_char}')"
 add(
     "l08_visible_words",
-    lambda s, d: table(s, d, "pages").select("page_id", F.size(F.regexp_extract_all(html_text(F.col("html")), F.lit(_WORDS), F.lit(0))).cast("long").alias("n")),
-    f"SELECT page_id, len(regexp_extract_all({_SQL_HTML}, '{_WORDS}'))::BIGINT AS n FROM pages",
+    lambda s, d: table(s, d, "pages").select("page_id", textx.visible_words(F.col("html")).alias("w")).select("page_id", F.size("w").cast("long").alias("n"), F.md5(F.array_join("w", " ")).alias("words")),
+    f"WITH w AS (SELECT page_id, regexp_extract_all({_SQL_SEEN}, '[A-Za-z0-9]{{2,}}') AS w FROM pages) SELECT page_id, len(w)::BIGINT AS n, md5(array_to_string(w, ' ')) AS words FROM w",
 )
 
 
@@ -141,7 +162,7 @@ add(
 
 def _sample(s, d):
     # a systematic sample: the stride doubles until at most `most` rows are left
-    most = 4000
+    most = 40_000
     o = global_row_number(table(s, d, "orders").select("o_orderkey"), "o_orderkey", "r")
     n = o.agg(F.max("r").alias("n"))
     stride = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / most)))).cast("int")
@@ -152,7 +173,7 @@ add(
     "l14_systematic_sample",
     _sample,
     """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders)
-       SELECT o_orderkey FROM o WHERE (r - 1) % power(2, greatest(0, ceil(log2(n / 4000))))::INT = 0""",
+       SELECT o_orderkey FROM o WHERE (r - 1) % power(2, greatest(0, ceil(log2(n / 40000))))::INT = 0""",
 )
 
 

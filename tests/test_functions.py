@@ -30,7 +30,10 @@ def one(spark, col):
         (lambda: textx.delimited_cell(F.lit("=SUM(A1:A2)")), "\"'=SUM(A1:A2)\""), (lambda: textx.delimited_cell(F.lit("-5")), "-5"), (lambda: datesx.date_of(F.lit(2020), F.lit(14), F.lit(35)).cast("string"), "2021-03-07"),
         (lambda: datesx.networkdays(F.lit("2020-01-01").cast("date"), F.lit("2020-02-01").cast("date")), 23), (lambda: datesx.weeknum(F.lit("2020-03-03").cast("date")), 10),
         (lambda: F.round(finance.pmt(F.lit(0.05 / 12), F.lit(60), F.lit(10000)), 6), -188.712336), (lambda: F.round(finance.npv(F.lit(0.1), [F.lit(100), F.lit(200), F.lit(300)]), 6), 481.592787),
-        (lambda: F.round(finance.nper(F.lit(0.01), F.lit(-100), F.lit(1000)), 6), 10.588644), (lambda: finance.db_first(F.lit(10000.0), F.lit(1000.0), F.lit(5)), 3690.0),
+        (lambda: F.round(finance.nper(F.lit(0.01), F.lit(-100), F.lit(1000)), 6), 10.588644), (lambda: finance.db(F.lit(10000.0), F.lit(1000.0), F.lit(5), F.lit(1)), 3690.0),
+        (lambda: finance.db(F.lit(10000.0), F.lit(1000.0), F.lit(5), F.lit(2)), 2328.39), (lambda: finance.ddb(F.lit(100.0), F.lit(50.0), F.lit(2), F.lit(2)), 0.0), (lambda: finance.mirr(F.array(*[F.lit(float(x)) for x in (-1000, 300, 400, 500, 200)]), F.lit(0.1), F.lit(0.12)), 0.139033),
+        (lambda: textx.letters(F.lit(703)), "aaa"), (lambda: textx.dollar(F.lit(-1234.567)), "($1,234.57)"), (lambda: textx.nfkc(F.lit("ﬁ①")), "fi1"), (lambda: textx.scrub(F.lit("see my.report.pdf now")), "see [file] now"), (lambda: textx.ip_number(F.lit("256.1.1.1")), None), (lambda: mathx.factdouble(F.lit(7)), 105.0),
+        (lambda: datesx.workday(F.lit("2020-03-01").cast("date"), -2).cast("string"), "2020-02-27"), (lambda: F.round(distributions.poisson_pmf(F.lit(25), F.lit(20.0)), 9), 0.044587649), (lambda: F.round(distributions.binom_pmf(F.lit(3), F.lit(30), F.lit(0.3)), 9), 0.007203272),
         (lambda: F.round(finance.irr(F.array(*[F.lit(float(x)) for x in (-1000, 300, 400, 500, 200)])), 6), 0.153221), (lambda: F.round(finance.rate(F.lit(60.0), F.lit(-200.0), F.lit(10000.0)), 6), 0.006183),
     ],
 )
