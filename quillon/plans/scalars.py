@@ -435,7 +435,7 @@ def _schedules(s, d):
     return _line(
         s, d, F.round(finance.cumipmt(rate, n, pv, F.lit(2), months), 4).alias("cumipmt"), F.round(finance.cumprinc(rate, n, pv, F.lit(2), months), 4).alias("cumprinc"), F.round(finance.fvschedule(p, rates), 3).alias("fvschedule"),
         F.round(finance.mirr(flows, F.lit(0.1), F.lit(0.12)), 9).alias("mirr"), F.round(finance.db(p, q, F.lit(6), F.lit(1), 7), 8).alias("db1"), F.round(finance.db(p, q, F.lit(6), F.lit(3), 7), 8).alias("db3"), F.round(finance.db(p, q, F.lit(6), F.lit(7), 7), 8).alias("db7"),
-        F.round(finance.ddb(p, p * 0.2, F.lit(5), F.lit(4)), 8).alias("ddb_floor"), F.round(finance.nominal(t + 0.01, F.lit(4)), 10).alias("nominal"), F.round(finance.ispmt(rate, F.lit(3), n, pv), 6).alias("ispmt"),
+        F.round(finance.ddb(p, p * 0.2, F.lit(5), F.lit(4)), 8).alias("ddb_floor"), F.round(finance.nominal(t + 0.01, F.lit(4)), 10).alias("nominal"), F.round(finance.ispmt(rate, F.lit(3), n, pv), 8).alias("ispmt"),
     )
 
 
@@ -452,5 +452,5 @@ add(
                round(power((l_extendedprice * 0.3 * power(1.12, 3) + l_extendedprice * 0.5 * 1.12 + l_extendedprice * 0.4) / (l_extendedprice + l_quantity / power(1.1, 2)), 0.25) - 1, 9) AS mirr,
                round(l_extendedprice * {_RATE_DB} * 7 / 12, 8) AS db1, round((l_extendedprice - l_extendedprice * {_RATE_DB} * 7 / 12) * (1 - {_RATE_DB}) * {_RATE_DB}, 8) AS db3,
                round((l_extendedprice - l_extendedprice * {_RATE_DB} * 7 / 12) * power(1 - {_RATE_DB}, 5) * {_RATE_DB} * 5 / 12, 8) AS db7,
-               round(l_extendedprice * greatest(0, power(0.6, 3) - 0.2), 8) AS ddb_floor, round(4 * (power(1.01 + l_tax, 0.25) - 1), 10) AS nominal, round(l_extendedprice * {R} * (3 / {N} - 1), 6) AS ispmt FROM x""",
+               round(l_extendedprice * greatest(0, power(0.6, 3) - 0.2), 8) AS ddb_floor, round(4 * (power(1.01 + l_tax, 0.25) - 1), 10) AS nominal, round(l_extendedprice * {R} * (3 / {N} - 1), 8) AS ispmt FROM x""",
 )
