@@ -47,6 +47,7 @@ MOST_SOURCES = 100_000
 SHARDS = 16
 #: Bytes of a partition of shuffled(), before it is compressed.
 PART_BYTES = 128_000_000
+MOST_SLICES = 10_000
 SEED = 17
 
 
@@ -216,13 +217,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     return one.withColumns({P + "shard": F.col(P + "copy.shard"), P + "order": order}).drop(P + "copy")
 
 
-def shuffled(mixed: DataFrame, shards: int = SHARDS, slices: int | None = None) -> DataFrame:
+def slices_for(df: DataFrame, text_col: str = "text", shards: int = SHARDS) -> int:
+    """Into how many slices of PART_BYTES of text, about, a shard of the mix of df is cut; a mix is as large as its input.
+    The planner's estimate is no guide here, as it multiplies the sizes of joined tables."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).collect()[0][0]
+    return max(1, min(MOST_SLICES, -(-size // (shards * PART_BYTES))))
+
+
+def shuffled(mixed: DataFrame, slices: int, shards: int = SHARDS) -> DataFrame:
     """The mix in its shards, each in its own random order. Orders are hashes, so equal slices of their range hold nearly
-    equal numbers of records: each slice of a shard is a partition, and no sample has to be drawn for that. By default
-    there are as many as the planner's estimate of the size asks for."""
-    if slices is None:
-        size = int(str(mixed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        slices = max(1, min(10_000, -(-size // (shards * PART_BYTES))))
+    equal numbers of records: each slice of a shard is a partition, and no sample has to be drawn for that."""
     # the highest 31 bits of the order, in the order of signed numbers, times the slices
     high = F.shiftright(P + "order", 33).cast("long") + F.lit(2**30)
     part = F.col(P + "shard") * slices + F.shiftright(high * slices, 31).cast("int")

@@ -79,12 +79,13 @@ def test_mix_gives_the_rows_and_keeps_columns(spark, odd_docs):
     assert rows.count() == sum(len(r[mixing.P + "copies"]) for r in dealt)
     assert {r[0] for r in rows.select(mixing.P + "shard").distinct().collect()} <= set(range(mixing.SHARDS))
     assert mixing.shuffled(rows, slices=3).count() == rows.count()
+    assert mixing.slices_for(odd_docs) == 1 and mixing.slices_for(odd_docs.limit(0)) == 1
 
 
 def test_shuffled_interleaves_the_sources_as_drawn(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"{'w ' * 5}{i}", "abcd"[i * 4 // 8000]) for i in range(8000)], "doc_id long, text string, source string")
     mixed = mixing.mix(docs, shards=4)
-    parts = mixing.shuffled(mixed, 4, 2).select(F.spark_partition_id().alias("part"), mixing.P + "shard", mixing.P + "order", "source").collect()
+    parts = mixing.shuffled(mixed, 2, 4).select(F.spark_partition_id().alias("part"), mixing.P + "shard", mixing.P + "order", "source").collect()
     assert sorted(str(tuple(r[1:])) for r in parts) == sorted(str(tuple(r)) for r in mixed.select(mixing.P + "shard", mixing.P + "order", "source").collect())
     groups = {}
     for r in parts:
