@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Registry
 
-FAMILIES = ("reports", "aggregates", "predicates", "lookups", "windows", "scalars", "metering", "graphs", "texts", "formats")
+FAMILIES = ("reports", "aggregates", "predicates", "lookups", "windows", "scalars", "metering", "graphs", "texts", "formats", "conversions")
 
 
 def load() -> Registry:

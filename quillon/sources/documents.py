@@ -158,7 +158,7 @@ def xlsx_rows(data: bytes) -> list[tuple[str, int, list[str]]]:
 
 
 def xlsx_bytes(sheets: dict[str, list[list]]) -> bytes:
-    """A workbook of inline texts and numbers."""
+    """A workbook of inline texts, numbers and truth values."""
     buffer = io.BytesIO()
     main, esc = _NS["m"], lambda s: str(s).replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
@@ -168,7 +168,7 @@ def xlsx_bytes(sheets: dict[str, list[list]]) -> bytes:
         links = "".join(f'<Relationship Id="r{i}" Type="x" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1))
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
         for i, rows in enumerate(sheets.values(), 1):
-            cell = lambda v: "<c/>" if v is None else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t>{esc(v)}</t></is></c>'
+            cell = lambda v: "<c/>" if v is None else f'<c t="b"><v>{int(v)}</v></c>' if isinstance(v, bool) else f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) else f'<c t="inlineStr"><is><t>{esc(v)}</t></is></c>'
             body = "".join(f'<row r="{r}">' + "".join(map(cell, row)) + "</row>" for r, row in enumerate(rows, 1))
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
     return buffer.getvalue()
