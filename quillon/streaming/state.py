@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def token_bucket(df: DataFrame, key: str, name: str, micros: str, capacity: float, per_second: float) -> DataFrame:
     """(name, admitted): a bucket per key, full at first, refilled with time, one token a request. Requests of a key are
@@ -44,9 +47,19 @@ def first_only(events: DataFrame, key: list[str], late: str = "1 day") -> DataFr
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there and gives its result as a table; offsets and state are kept in the given
-    folder, so a run that is broken off goes on from there."""
-    q = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    folder, so a run that is broken off goes on from there. Appended rows are as many as the input's: they go as Parquet to
+    a folder beside it, and only aggregates, which "complete" stands for, are held by the driver. Keys that an appending
+    stream remembers are kept by RocksDB, outside the heap."""
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        rows, conf = f"{checkpoint}-rows", stream.sparkSession.conf
+        before = conf.get(STORE, None)
+        conf.set(STORE, ROCKSDB)
+        try:
+            running = writer.format("parquet").start(rows)  # takes its own copy of the settings
+        finally:
+            conf.unset(STORE) if before is None else conf.set(STORE, before)
+        running.awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(rows)
+    writer.format("memory").start().awaitTermination()
     return stream.sparkSession.table(name)
