@@ -19,3 +19,11 @@ def test_appended_rows_are_files(spark, tmp_path):
     assert spark.conf.get(store) == before
     # a second run over the same folder finds nothing new and repeats nothing
     assert state.run_once(state.first_only(stream, ["k"], "1 day"), "appended", folder, "append").count() == 1000
+
+
+def test_delimited_stream_is_files(spark):
+    from quillon.plans import catalog
+
+    out = catalog.load().queries["i01_stream_delimited"](spark, "/root/testdata/sf0.001")
+    assert out.inputFiles()
+    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
