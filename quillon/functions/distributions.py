@@ -144,19 +144,37 @@ def beta_i(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
+def _once(fn, last: dict[bytes, np.ndarray], *cols: pd.Series) -> pd.Series:
+    """A function of numbers, taken once of each different row of them; last holds what it gave for the rows before, which
+    the next batch of a column of few values has again."""
+    given = [c.to_numpy(float) for c in cols]
+    row = np.zeros(len(given[0]), np.int64)
+    for v in given:
+        values, place = np.unique(v, return_inverse=True)
+        if len(values) > 1:
+            row = np.unique(row * len(values) + place, return_inverse=True)[1]
+    _, first, place = np.unique(row, return_index=True, return_inverse=True)
+    rows = np.stack([v[first] for v in given])
+    if (key := rows.tobytes()) not in last:
+        last.clear()
+        last[key] = fn(*rows)
+    return pd.Series(last[key][place])
+
+
 def _vector(fn):
     """A Column function of up to three numbers."""
 
     def build(*cols: Column) -> Column:
+        last: dict[bytes, np.ndarray] = {}
         if len(cols) == 1:
             def run(a: pd.Series) -> pd.Series:
-                return pd.Series(fn(a.to_numpy(float)))
+                return _once(fn, last, a)
         elif len(cols) == 2:
             def run(a: pd.Series, b: pd.Series) -> pd.Series:
-                return pd.Series(fn(a.to_numpy(float), b.to_numpy(float)))
+                return _once(fn, last, a, b)
         else:
             def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-                return pd.Series(fn(a.to_numpy(float), b.to_numpy(float), c.to_numpy(float)))
+                return _once(fn, last, a, b, c)
         return F.pandas_udf(run, "double")(*[c.cast("double") for c in cols])
 
     return build
@@ -173,7 +191,8 @@ t_cdf_np = lambda x, df: np.where(x >= 0, 1 - 0.5 * beta_i(df / 2, 0.5, df / (df
 
 def _inverse(cdf, low: float | None):
     """The value at which a distribution function, growing from `low` (None: without end), reaches p: an interval is doubled
-    until it holds the value, and halved until nothing lies between its ends. NaN outside 0 < p < 1."""
+    until it holds the value, then cut by Chandrupatla's method, an inverse parabola where three points allow it and else the
+    middle, until nothing lies between its ends. NaN outside 0 < p < 1."""
 
     def solve(p: np.ndarray, *params: np.ndarray) -> np.ndarray:
         p = np.asarray(p, float)
@@ -186,13 +205,34 @@ def _inverse(cdf, low: float | None):
             if not (under | over).any():
                 break
             b, a = np.where(under, 2 * b, b), np.where(over, 2 * a, a)
-        for _ in range(200):
-            m = (a + b) / 2
-            up = cdf(m, *params) < q
-            a, b = np.where(up, m, a), np.where(up, b, m)
-            if ((b - a) <= 1e-15 * np.maximum(np.abs(a), np.abs(b))).all():
+        out = (a + b) / 2
+        left = np.arange(p.size)  # what has no value yet; all below is of these alone
+        params = [np.broadcast_to(np.asarray(v, float), p.shape) for v in params]
+        fa, fb = cdf(a, *params) - q, cdf(b, *params) - q
+        t = np.full(p.shape, 0.5)
+        for _ in range(400):
+            x = a + t * (b - a)
+            f = cdf(x, *params) - q
+            same = np.sign(f) == np.sign(fa)
+            c, fc = np.where(same, a, b), np.where(same, fa, fb)
+            b, fb = np.where(same, b, a), np.where(same, fb, fa)
+            a, fa = x, f
+            best = np.where(np.abs(fa) < np.abs(fb), a, b)
+            out[left] = best
+            gap = np.abs(b - a)
+            least = 2 * np.finfo(float).eps * np.abs(best) + 1e-300
+            go = (gap > 2 * least) & (fa != 0) & (fb != 0)
+            if not go.any():
                 break
-        return np.where(ok, (a + b) / 2, np.nan)
+            left, q, a, b, c, fa, fb, fc, least, gap = (v[go] for v in (left, q, a, b, c, fa, fb, fc, least, gap))
+            params = [v[go] for v in params]
+            with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+                xi, phi = (a - b) / (c - b), (fa - fb) / (fc - fb)
+                curved = (phi**2 < xi) & ((1 - phi) ** 2 < 1 - xi)
+                t = fa / (fb - fa) * fc / (fb - fc) + (c - a) / (b - a) * fa / (fc - fa) * fb / (fc - fb)
+            t = np.where(curved & np.isfinite(t), t, 0.5)
+            t = np.clip(t, least / gap, 1 - least / gap)
+        return np.where(ok, out, np.nan)
 
     return solve
 
