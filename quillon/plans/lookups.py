@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import lookup, reconcile
+from ..operators import intervals, lookup, reconcile
 from ..session import table
 from .registry import Registry
 
@@ -154,13 +154,7 @@ add(
 def _intervals(s, d):
     # boxes on an axis, bucketed so that only boxes of touching buckets meet
     x = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 10).alias("x0"), (F.col("p_retailprice") * 10 + F.col("p_size")).alias("x1"))
-    width = 64
-    cells = x.withColumn("cell", F.explode(F.sequence(F.floor(F.col("x0") / width), F.floor(F.col("x1") / width))))
-    a, b = cells.alias("a"), cells.alias("b")
-    over = (F.col("a.x0") < F.col("b.x1")) & (F.col("b.x0") < F.col("a.x1")) & (F.col("a.id") < F.col("b.id"))
-    first = F.col("a.cell") == F.floor(F.greatest("a.x0", "b.x0") / width)  # a pair counts in the cell where it begins
-    pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & over & first)
-    return pairs.groupBy(F.col("a.id").alias("id")).agg(F.count("*").alias("overlaps"), F.max("b.id").alias("last"))
+    return intervals.overlaps(x, "id", "x0", "x1", 64)
 
 
 add(
