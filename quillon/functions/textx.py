@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from html import unescape
+from html.entities import html5
 from unicodedata import normalize
 
 import pandas as pd
@@ -216,19 +218,30 @@ BREAKING = (
 )
 
 
-def visible_words(html: Column) -> Column:
+def visible_words(html: Column, open_references: bool = True) -> Column:
     """The words of two letters or digits and more that a page shows; what hides is left out, tags part words only where
-    they start a line."""
+    they start a line. Browsers read some references without their semicolon (`&amp`), which open_references=False leaves
+    as they stand."""
     page = F.regexp_replace(html, rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(UNSEEN)})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
     page = F.regexp_replace(F.regexp_replace(page, rf"(?i)</?(?:{'|'.join(BREAKING)})\b[^>]*>", " "), r"</?[a-zA-Z][^>]*>", "")
-    return F.regexp_extract_all(decoded(page), F.lit("[A-Za-z0-9]{2,}"), F.lit(0))
+    return F.regexp_extract_all(decoded(page, open_references), F.lit("[A-Za-z0-9]{2,}"), F.lit(0))
 
 
-def decoded(s: Column) -> Column:
+# fixed value: a reference closed by its semicolon
+CLOSED_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+
+
+def closed_unescape(text: str) -> str:
+    """Character references closed by a semicolon as what they stand for, all else as it is."""
+    return CLOSED_REFERENCE.sub(lambda m: unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0], text)
+
+
+def decoded(s: Column, open_references: bool = True) -> Column:
     """Character references, named and numbered, as what they stand for."""
+    read = unescape if open_references else closed_unescape
 
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: unescape(t) if isinstance(t, str) else None)
+        return x.map(lambda t: read(t) if isinstance(t, str) else None)
 
     return F.when(s.contains("&"), F.pandas_udf(run, "string")(s)).otherwise(s)
 
