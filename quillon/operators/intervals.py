@@ -11,8 +11,9 @@ NONE = np.iinfo(np.int64).min
 
 
 def merge(df: DataFrame, by: list[str], first: str, last: str, touch: float = 1) -> DataFrame:
-    """(by, first, last, parts): intervals that overlap or touch are one."""
-    order = Window.partitionBy(*by).orderBy(first, last)
+    """(by, first, last, parts): intervals that overlap or touch are one; those without a begin come last, and belong to the
+    last one. Both windows have one order and so one sort, in which equal intervals keep their places."""
+    order = Window.partitionBy(*by).orderBy(F.asc_nulls_last(first), F.asc_nulls_last(last))
     before = F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(first) > before + touch), 1).otherwise(0)
     island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))

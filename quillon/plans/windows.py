@@ -117,7 +117,7 @@ add(
 
 
 def _spans(s, d):
-    return table(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 1000 * 10).alias("a"), (F.col("l_orderkey") % 1000 * 10 + F.col("l_quantity").cast("long")).alias("b"))
+    return table(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") % 1000 * 10).alias("a"), (F.col("l_orderkey") % 1000 * 10 + F.rint("l_quantity").cast("long")).alias("b"))
 
 
 _SQL_ISLANDS = """WITH x AS (SELECT l_suppkey, l_orderkey % 1000 * 10 AS a, l_orderkey % 1000 * 10 + l_quantity::BIGINT AS b FROM lineitem),
