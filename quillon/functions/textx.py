@@ -95,10 +95,12 @@ def delimited_cell(s: Column, delimiter: str = ",", escape_formulas: bool = True
     text = F.coalesce(s, F.lit(""))
     guarded = text.rlike(FORMULA) if escape_formulas else F.lit(False)
     body = F.when(guarded, F.concat(F.lit("'"), text)).otherwise(text)
-    special = "[\"\\r\\n﻿" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + "]|^ | $"
+    marks = "[\"\\r\\n﻿" + ("\\t" if delimiter == "\t" else "\\" + delimiter) + "]"
     quoted = F.concat(F.lit('"'), F.replace(body, F.lit('"'), F.lit('""')), F.lit('"'))
-    cell = F.when(guarded | body.rlike(special), quoted).otherwise(body)
-    return F.when(text == "", F.lit('""' if single_column else "")).otherwise(cell)
+    cell = F.when(guarded | body.rlike(marks + "|^ | $"), quoted).otherwise(body)
+    # most cells stay as they are; one pattern finds all that might not
+    odd = marks + r"|^[ =@\t+-]|[ \u0085\u2028\u2029]$"
+    return F.when(text == "", F.lit('""' if single_column else "")).when(~text.rlike(odd), text).otherwise(cell)
 
 
 def rfc4180_cell(s: Column) -> Column:

@@ -297,7 +297,7 @@ add("i11_stream_dedupe", _dedupe_stream, "SELECT event_id, user_id FROM events")
 def _delimited_stream(s, d):
     folder = scratch(s, "tsv")
     delimited.write_delimited(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), folder, "\t")
-    lines = s.readStream.text(folder).select(delimited.parse_cells(F.regexp_replace("value", "\r$", ""), "\t").alias("c"))
+    lines = s.readStream.option("lineSep", "\r\n").text(folder).select(delimited.parse_cells(F.col("value"), "\t").alias("c"))
     return state.run_once(lines.select(F.concat_ws(",", "c").alias("value")), "quillon_tsv", scratch(s, "stream"), "append")
 
 

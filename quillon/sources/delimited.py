@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,8 @@ from ..operators.ranking import first_free_names
 from ..session import staged
 
 DELIMITERS = [",", ";", "\t", "|"]
+#: Integers: digits with or without a minus need neither quotes nor a guard.
+INTEGERS = ["byte", "short", "integer", "long"]
 SAMPLE_RECORDS = 50
 SAMPLE_CHARS = 1 << 20
 #: Different headers, at most, of the files of one table.
@@ -163,14 +166,15 @@ MARK, CUT = "\U0010fffd", "\U0010fffc"
 def parse_cells(record: Column, delimiter: str) -> Column:
     """The cells of one record: quoted ones may hold delimiters, line breaks and doubled quotes. The text is cut at quotes,
     every second piece lies between quotes, and the delimiters of the others end cells: one pass each of literal searches,
-    linear in the record and without a pattern that could go deep."""
+    linear in the record and without a pattern that could go deep. A record without quotes is cut at its delimiters."""
     safe = F.replace(F.replace(record, F.lit(MARK), F.lit(MARK + "m")), F.lit(CUT), F.lit(MARK + "c"))
     pieces = F.transform(F.split(safe, '"', -1), lambda p, i: F.when(i % 2 == 0, F.replace(p, F.lit(delimiter), F.lit(CUT))).otherwise(p))
     cells = F.split(F.array_join(pieces, '"'), CUT, -1)
     plain = lambda c: F.replace(F.replace(c, F.lit(MARK + "c"), F.lit(CUT)), F.lit(MARK + "m"), F.lit(MARK))
     inner = lambda c: F.replace(F.substring(c, F.lit(2), F.char_length(c) - 2), F.lit('""'), F.lit('"'))
     bare = lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.char_length(c) > 1), inner(c)).otherwise(c)
-    return F.transform(cells, lambda c: plain(bare(c)))
+    quoted = F.transform(cells, lambda c: plain(bare(c)))
+    return F.when(~record.contains('"'), F.split(record, re.escape(delimiter), -1)).otherwise(quoted)
 
 
 def read_whole(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
@@ -189,8 +193,10 @@ def read_whole(spark: SparkSession, path: str, delimiter: str = ",") -> DataFram
 def format_lines(df: DataFrame, delimiter: str = ",", escape_formulas: bool = True) -> DataFrame:
     """(value): the lines of a delimited file of df."""
     lone = len(df.columns) == 1
-    cells = [delimited_cell(F.col(f"`{c}`").cast("string"), delimiter, escape_formulas, lone) for c in df.columns]
-    return df.select(F.concat_ws(delimiter, *cells).alias("value"))
+    # cast once, below the patterns that look at each cell
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(df.columns)])
+    cells = [F.coalesce(F.col(f"c{i}"), F.lit('""' if lone else "")) if f.dataType.typeName() in INTEGERS and delimiter in DELIMITERS else delimited_cell(F.col(f"c{i}"), delimiter, escape_formulas, lone) for i, f in enumerate(df.schema.fields)]
+    return texts.select(F.concat_ws(delimiter, *cells).alias("value"))
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", escape_formulas: bool = True, names: list[str] | None = None) -> None:
